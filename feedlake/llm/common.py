@@ -63,3 +63,13 @@ def salt_of(salts: int, *cols: Column | str) -> Column:
 def held_out(id_col: str, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text falls into ``fold``; a null id counts as held out, so it never trains."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(True))
+
+
+def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """The id as string ``i`` and the text as ``t`` for pandas, which would read longs with nulls as floats."""
+    return [F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")]
+
+
+def restored(out: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
+    """``out`` with its string ``i`` as the id of ``docs`` again."""
+    return out.withColumn("i", F.col("i").cast(docs.schema[id_col].dataType)).withColumnRenamed("i", id_col)
