@@ -71,7 +71,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         "_id", "_fp", "item", "h", F.struct("own", "slots").alias("s"), (F.col("slots").isNull() | F.array_contains("own", F.col("slots"))).alias("same")
     )
     # One row for each pair and window; the slots of a pair are at most its distinct windows' values.
-    pairs = hits.groupBy("_id", "_fp", "item", "h").agg(F.max("same").alias("same"), F.collect_set(F.when(~F.col("same"), F.col("s"))).alias("s"))
+    # Written out, because two branches read it and the windows of all documents stand behind it.
+    pairs = written(hits.groupBy("_id", "_fp", "item", "h").agg(F.max("same").alias("same"), F.collect_set(F.when(~F.col("same"), F.col("s"))).alias("s")), "pairs")
     values = lambda s: F.arrays_zip(F.split(F.get(s["own"], F.lit(0)), GAP).alias("a"), F.split(s["slots"], GAP).alias("b"))
     changed = (
         pairs.where(~F.col("same")).select("_id", "_fp", "item", F.explode(F.flatten(F.transform("s", values))).alias("v"))
