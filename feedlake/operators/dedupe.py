@@ -97,7 +97,11 @@ def near_duplicates(rows: DataFrame, least_chars: int = 500, width: int = 32, le
     """
     full = rows.where(F.col("content_status") == "full").select("article_id", letters_only(F.col("text")).alias("plain")).where(F.length("plain") >= least_chars)
     one = full.groupBy(F.sha2("plain", 256).alias("h")).agg(F.min("article_id").alias("id"), F.first("plain").alias("plain"), F.collect_list("article_id").alias("ids"))
-    sets = one.select("id", F.length("plain").alias("n"), F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("plain") - width + 1), lambda i: F.xxhash64(F.substring(F.col("plain"), i, F.lit(width))))).alias("s"))
+    # UTF-16 units, cut from the encoded bytes: a cut of a string would count characters from its start each time.
+    units = F.encode("plain", "UTF-16BE")
+    n = F.length("units") / 2
+    cuts = F.transform(F.sequence(F.lit(0), F.col("n") - width), lambda i: F.xxhash64(F.substring(F.col("units"), 2 * i + 1, F.lit(2 * width))))
+    sets = one.select("id", units.alias("units")).withColumn("n", n.cast("int")).select("id", "n", F.array_distinct(cuts).alias("s"))
     each = sets.select("id", "n", F.size("s").alias("k"), F.explode("s").alias("t"))
     common = each.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     shared = each.join(common, "t").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "t")))
