@@ -11,43 +11,42 @@ from .common import fingerprint, written
 UNITS = ("mm cm m km kg g mg lb oz inch inches foot feet yard yards mile miles meter meters metre metres liter liters litre litres gallon gallons "
          "second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents "
          "degree degrees watt watts volt volts pound pounds ton tons kilometer kilometers kilogram kilograms gram grams").split()
-NAME, UNIT = "\u0002", "\u0003"
+#: Marks that stand before a name or a unit and for a decimal point; no separator below holds them.
+NAME, UNIT, POINT = "\u0002", "\u0003", "\u0004"
 #: A capitalised word after a lower-case word or a comma is taken for a name: elsewhere a capital may only begin a sentence.
-NAME_AT = r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})"
-UNIT_AT = r"(?i)(?<=[0-9] ?)(?=(?:" + "|".join(UNITS) + r")\b)"
-TOKEN = rf"[{NAME}{UNIT}]?(?:[0-9]+(?:[.,][0-9]+)*|(?:(?![0-9])[\p{{L}}\p{{M}}\p{{N}}])+)"
+NAME_AT = r"([\p{Ll},;] )(?=\p{Lu}\p{Ll})"
+UNIT_AT = r"(?i)([0-9] ?)(?=(?:" + "|".join(UNITS) + r")\b)"
+#: ASCII signs and the Unicode blocks of punctuation and spaces part tokens.
+SEPARATORS = r"[\x00\x01\x05-/:-@\[-`{-\x7f\u00a0-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2000-\u206f\u3000-\u303f]+"
+SLOT = f"^[0-9{NAME}{UNIT}]"
 GAP = "\u0001"
 
 
-def _tokens(text: Column) -> Column:
-    marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), UNIT_AT, UNIT), NAME_AT, NAME)
-    return F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0))
+def template_windows(table: DataFrame, id_col: str, text_col: str, width: int, least_words: int) -> DataFrame:
+    """One row (_id, _fp, h, slots) for each template window of each text: the template's hash, and the values in its
+    slots, null if it has none. Windows with fewer than ``least_words`` plain words are left out: placeholders alone say nothing.
 
-
-def _windows(tokens: Column, shapes: Column, width: int, least_words: int) -> Column:
-    """Windows (h, at, slots): the template's hash, its first token and the values in its slots, null if it has none.
-
-    Windows with fewer than ``least_words`` plain words are left out: placeholders alone say nothing.
+    Most texts have neither numbers nor names: two searches find that out, and their windows are hashed as they are.
     """
-    def window(x: Column, i: Column) -> Column:
-        shape = F.slice(shapes, i + 1, width)
-        values = F.filter(F.transform(F.slice(tokens, i + 1, width), lambda t: F.when(t.rlike(f"^[0-9{NAME}{UNIT}]"), F.lower(t))), lambda t: t.isNotNull())
-        slots = F.when(F.col("_slotted"), F.array_join(values, GAP))
-        return F.struct(F.xxhash64(shape).alias("h"), i.cast("int").alias("at"), F.when(slots != "", slots).alias("slots"))
-
-    full = F.slice(tokens, 1, F.greatest(F.size(tokens) - width + 1, F.lit(0)))
-    made = F.transform(full, window)
-    plain = lambda w: F.size(F.filter(F.slice(shapes, w["at"] + 1, width), lambda s: ~s.startswith("<"))) >= least_words
-    return F.when(F.col("_slotted"), F.filter(made, plain)).otherwise(made)
-
-
-def template_windows(table: DataFrame, id_col: str, text_col: str, width: int, least_words: int, *keep: str) -> DataFrame:
-    """One row for each template window of each text: the kept columns, h, at, slots."""
-    shape = lambda t: F.when(t.rlike("^[0-9]"), "<number>").when(t.startswith(NAME), "<name>").when(t.startswith(UNIT), "<unit>").otherwise(F.lower(t))
-    rows = table.select(F.col(id_col).alias("_id"), fingerprint(text_col).alias("_fp"), *keep, _tokens(F.col(text_col)).alias("_tokens"))
-    slotted = rows.withColumn("_slotted", F.exists("_tokens", lambda t: t.rlike(f"^[0-9{NAME}{UNIT}]")))
-    shaped = slotted.withColumn("_shapes", F.when(F.col("_slotted"), F.transform("_tokens", shape)).otherwise(F.transform("_tokens", F.lower)))
-    return shaped.select("_id", "_fp", *keep, F.explode(_windows(F.col("_tokens"), F.col("_shapes"), width, least_words)).alias("_w")).select("_id", "_fp", *keep, "_w.*")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = table.select(F.col(id_col).alias("_id"), fingerprint(text_col).alias("_fp"), text.alias("_t"), text.rlike("[0-9]").alias("_d"))
+    numbered = F.regexp_replace(F.regexp_replace(F.col("_t"), UNIT_AT, f"$1{UNIT}"), "(?<=[0-9])[.,](?=[0-9])", POINT)
+    rows = rows.withColumn("_t", F.when(F.col("_d"), numbered).otherwise(F.col("_t")))
+    rows = rows.withColumn("_n", F.col("_t").rlike(NAME_AT))
+    named = F.when(F.col("_n"), F.regexp_replace("_t", NAME_AT, f"$1{NAME}")).otherwise(F.col("_t"))
+    rows = rows.select("_id", "_fp", (F.col("_d") | F.col("_n")).alias("_slotted"), F.array_remove(F.split(F.lower(named), SEPARATORS, -1), "").alias("_tokens"))
+    shape = lambda t: F.when(t.rlike("^[0-9]"), "<number>").when(t.startswith(NAME), "<name>").when(t.startswith(UNIT), "<unit>").otherwise(t)
+    rows = rows.withColumn("_shapes", F.when(F.col("_slotted"), F.transform("_tokens", shape)).otherwise(F.col("_tokens")))
+    starts = F.when(F.size("_tokens") >= width, F.sequence(F.lit(1), F.size("_tokens") - width + 1)).otherwise(F.array().cast("array<int>"))
+    none = F.lit(None).cast("string")
+
+    def cut(i: Column) -> Column:
+        values = F.filter(F.slice("_tokens", i, width), lambda t: t.rlike(SLOT))
+        return F.struct(F.xxhash64(F.slice("_shapes", i, width)).alias("h"), F.when(F.size(values) > 0, F.array_join(values, GAP)).alias("slots"), F.size(values).alias("k"))
+
+    slotted = F.transform(F.filter(F.transform(starts, cut), lambda w: w["k"] <= width - least_words), lambda w: F.struct(w["h"].alias("h"), w["slots"].alias("slots")))
+    plain = F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("_shapes", i, width)).alias("h"), none.alias("slots")))
+    return rows.select("_id", "_fp", F.explode(F.when(F.col("_slotted"), slotted).otherwise(plain)).alias("_w")).select("_id", "_fp", "_w.*")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, least_words: int = 3, coverage: float = 0.5, broadcast_rows: int = 500_000) -> DataFrame:
