@@ -40,7 +40,7 @@ class Setting:
     small: int = 64
     pivots: int = 4
     levels: int = 2
-    salts: int = 16
+    salts: int = 8
 
     @property
     def reach(self) -> float:
@@ -245,15 +245,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = written(signatures(docs, id_col, text_col, s), "signatures")
     named = sig.where(F.col("doc").isNotNull() & (F.col("n") > 0))
     nodes = named.groupBy("key").agg(F.min("doc").alias("node"))
-    one = named.groupBy("key").agg(F.min(F.struct("doc", "n", "rare", "rare_at", "often", "often_at")).alias("r")).select(F.col("r.doc").alias("node"), "r.n", "r.rare", "r.rare_at", "r.often", "r.often_at")
-    post = lambda c: one.select("node", "n", F.explode(F.arrays_zip(F.col(c).alias("s"), F.col(f"{c}_at").alias("at"))).alias("x")).select("x.s", "node", "n", "x.at")
-    rare = post("rare").groupBy("s").agg(F.collect_list(F.struct("n", "node", "at")).alias("members")).where(F.size("members") > 1)
-    pairs = written(region_pairs(rare, s), "pairs")
-    often = written(post("often").withColumnRenamed("s", "region"), "often")
+
+    def postings(part: str) -> DataFrame:
+        some = named.where(F.size(part) > 0).groupBy("key").agg(F.min(F.struct("doc", "n", part, f"{part}_at")).alias("r"))
+        return some.select(F.col("r.doc").alias("node"), "r.n", F.explode(F.arrays_zip(F.col(f"r.{part}").alias("s"), F.col(f"r.{part}_at").alias("at"))).alias("x")).select("x.s", "node", "n", "x.at")
+
+    rare = postings("rare").groupBy("s").agg(F.collect_list(F.struct("n", "node", "at")).alias("members")).where(F.size("members") > 1)
+    pairs = written(possible(region_pairs(rare, s), sig, s), "rare-pairs")
+    often = written(postings("often").withColumnRenamed("s", "region"), "often")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(often.select("node"))
     sets = written(needed_sets(docs, wanted, id_col, text_col, s), "sets")
     links, more = dense_links(often, sets, s)
-    pairs = possible(pairs.unionByName(more).distinct(), sig, s)
+    pairs = pairs.unionByName(possible(more, sig, s)).distinct()
     comps = components(links) if links is not None else None
     pairs = written(pairs, "possible")
     # First one pair for each node; of the rest only those between what is still apart are compared.
