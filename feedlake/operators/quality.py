@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.functions.text import PROMOTION, host_of, host_suffixes, substantive, term_list, without_links
+from feedlake.functions.text import PROMOTION, host_of, substantive, term_list, without_links
 
 #: Likes, reposts and replies of the fixed modes (fixed values).
 MODES = {"strict": (50, 10, 15), "standard": (10, 3, 5)}
@@ -57,16 +57,25 @@ def with_curated(articles: DataFrame, handles: DataFrame) -> DataFrame:
 
 def with_publisher(articles: DataFrame, publishers: DataFrame) -> DataFrame:
     """Adds ``publisher_id``: by handle for posts, by owner for repositories, else by the first directory row whose domain is the
-    URL's host or a parent of it. Suffixes turn the match into a broadcast hash join; articles are not shuffled by the join."""
-    host = host_of(F.col("url"))
-    by_host = F.transform(host_suffixes(host), lambda s: F.struct(F.lit("domain").alias("kind"), s.alias("key")))
-    by_name = F.array(F.struct(F.col("source").alias("kind"), F.lower("author").alias("key")))
-    allowed = (F.col("source") != "rss") | (F.lower(F.regexp_replace("origin_key", r"^(?i)www\.", "")) == host)
-    keys = F.when(F.col("source").isin("x", "github") & (F.col("content_kind") != "web"), by_name).when(allowed & host.isNotNull(), by_host)
+    URL's host or a parent of it.
+
+    A suffix match becomes one broadcast hash join for each number of labels that a directory domain has: articles are neither
+    exploded nor shuffled. The directory is a dimension that people keep by hand.
+    """
     directory = publishers.groupBy("kind", "key").agg(F.min(F.struct("ord", "publisher_id")).alias("p"))
-    book = directory.agg(F.map_from_entries(F.collect_list(F.struct(F.struct("kind", "key"), "p"))).alias("_book"))
-    found = F.array_min(F.filter(F.transform(keys, lambda k: F.try_element_at(F.col("_book"), k)), lambda p: p.isNotNull()))
-    return articles.crossJoin(F.broadcast(book)).withColumn("publisher_id", found["publisher_id"]).drop("_book")
+    domains = directory.where("kind = 'domain'").select("key", "p")
+    depth = domains.agg(F.max(F.size(F.split("key", "\\."))).alias("n")).first().n or 0
+    host = host_of(F.col("url"))
+    named = F.col("source").isin("x", "github") & (F.col("content_kind") != "web")
+    allowed = ~named & ((F.col("source") != "rss") | (F.lower(F.regexp_replace("origin_key", r"^(?i)www\.", "")) == host))
+    rows = articles.withColumn("_host", F.when(allowed, host)).withColumn("_name", F.when(named, F.lower("author")))
+    for n in range(1, depth + 1):
+        some = domains.where(F.size(F.split("key", "\\.")) == n).select(F.col("key").alias(f"_k{n}"), F.col("p").alias(f"_p{n}"))
+        rows = rows.join(F.broadcast(some), F.substring_index("_host", ".", -n) == F.col(f"_k{n}"), "left").drop(f"_k{n}")
+    names = directory.where("kind <> 'domain'").select(F.col("kind").alias("_kind"), F.col("key").alias("_key"), F.col("p").alias("_p0"))
+    rows = rows.join(F.broadcast(names), (F.col("source") == F.col("_kind")) & (F.col("_name") == F.col("_key")), "left")
+    found = F.array_min(F.array_compact(F.array(*[F.col(f"_p{n}") for n in range(depth + 1)])))
+    return rows.withColumn("publisher_id", found["publisher_id"]).drop("_host", "_name", "_kind", "_key", *[f"_p{n}" for n in range(depth + 1)])
 
 
 def judge(articles: DataFrame, monitors: DataFrame, publishers: DataFrame, accounts: DataFrame, now: int) -> DataFrame:

@@ -26,9 +26,10 @@ def judged(spark, sf):
 
 
 @query("p01_terms", """SELECT monitor_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS term FROM (
-  SELECT monitor_id, list_filter(list_transform(list_concat([keywords], regexp_split_to_array(aliases, '[,，\\n]')), lambda x: trim(x)), lambda x: x <> '')[1:8] AS l FROM monitors) t, range(1, 9) r(i) WHERE i <= len(l)""")
+  SELECT article_id AS monitor_id, list_filter(list_transform(list_concat([source], regexp_split_to_array(title, '[,，\\n]')), lambda x: trim(x)), lambda x: x <> '')[1:8] AS l FROM articles) t, range(1, 9) r(i) WHERE i <= len(l)""")
 def terms(spark, sf):
-    return quality.channel_terms(monitors(spark).join(F.broadcast(table(spark, sf, "documents").select(F.lit(1).alias("one")).limit(1)), F.lit(True)).drop("one"))
+    """Each article as a channel of its source and the parts of its title."""
+    return quality.channel_terms(articles(spark, sf).select(F.col("article_id").alias("monitor_id"), F.col("source").alias("keywords"), F.col("title").alias("aliases")))
 
 
 @query("p02_channel_match", f""", t AS (
