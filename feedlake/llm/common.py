@@ -65,6 +65,11 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(True))
 
 
+def hash_share(share: float, seed: int, *cols: Column | str) -> Column:
+    """True for about ``share`` of all keys, the same ones on each run; neither sorts nor gathers rows."""
+    return F.pmod(F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in cols], F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+
+
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     """The id as string ``i`` and the text as ``t`` for pandas, which would read longs with nulls as floats."""
     return [F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import hash_share, held_out
 
 LEVEL, CHUNK = 3, 4096
 
@@ -75,27 +76,30 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: Column, per_class: int, longest: int) -> list:
-    """At most ``per_class`` labelled texts of each class, by id hash, each cut to ``longest`` code points for fitting."""
-    chosen = None
+def _sampled(docs: DataFrame, labelled: DataFrame, share: dict[int, int], id_col: str, text_col: str, per_class: int, longest: int) -> list:
+    """About ``per_class`` labelled texts of each class, by id hash, each cut to ``longest`` code points for fitting.
+
+    The share to take of each class follows from its count, so about 2 * per_class ids are broadcast and as many texts collected at any size.
+    """
+    take = F.lit(False)
     for y in (0, 1):
-        some = labels.where(train & (F.col(label_col) == y)).select(F.col(id_col).alias("_i"), F.lit(y).alias("_y")).distinct().orderBy(F.xxhash64("_i", F.lit(11)), "_i").limit(per_class)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    # 2 * per_class ids at most: a proven bound for the broadcast.
+        take |= (F.col("_y") == y) & hash_share(per_class / max(1, share.get(y, 0)), 11, "_i")
+    chosen = labelled.where(take).distinct()
     got = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_i")).select("_i", "_y", F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, longest).alias("t"))
-    return sorted(got.distinct().limit(4 * per_class).collect(), key=lambda r: (r._i, r.t))
+    return sorted(got.distinct().collect(), key=lambda r: (zlib.crc32(str(r._i).encode()), r.t))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train: Column | None = None, per_class: int = 2000, longest: int = 12_000, book_bytes: int = 524_288) -> Classifier | None:
-    """Fits dictionaries and calibration on a bounded sample: ``per_class`` labelled rows of each class, ``longest`` code points of each.
+    """Fits dictionaries and calibration on a bounded sample: about ``per_class`` labelled rows of each class, ``longest`` code points of each.
 
     Two thirds of the sample fill the dictionaries, shortest-first slices so that many documents take part; the rest calibrates a logistic
     score, weighted back to the classes' shares among all labelled rows. None if a class has no row.
     """
     train = F.lit(True) if train is None else train
-    rows = _sampled(docs, labels, id_col, text_col, label_col, train, per_class, longest)
-    share = {r[label_col]: r["n"] for r in labels.where(train & F.col(label_col).isin(0, 1)).groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not rows or not share.get(0) or not share.get(1):
+    labelled = labels.where(train & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("_y"))
+    share = {r._y: r.n for r in labelled.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = _sampled(docs, labelled, share, id_col, text_col, per_class, longest)
+    if {r._y for r in rows} != {0, 1}:
         return None
     books, rest = [], []
     for y in (0, 1):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import keyed_text, restored, written
 
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
-CACHED_WORDS, LONGEST_CACHED = 300_000, 60
+CACHED_WORDS = 300_000
 #: Scripts by first code point of their main blocks (fixed values); what lies before a start belongs to the block before it.
 BLOCKS = ((0x0, ""), (0x41, "latin"), (0x5B, ""), (0x61, "latin"), (0x7B, ""), (0xC0, "latin"), (0x250, ""), (0x370, "greek"), (0x400, "cyrillic"),
           (0x530, "other"), (0x590, "hebrew"), (0x600, "arabic"), (0x780, "other"), (0x900, "devanagari"), (0x980, "other"), (0xE00, "thai"),
@@ -26,7 +27,7 @@ METRICS = ("chars_per_token", "fallback_share", "token_entropy")
 
 
 class Pieces(dict):
-    """Token ids by word (bytes), as packed 32-bit integers, bounded in number; longer words are not kept."""
+    """Token ids by word (bytes), as packed 32-bit integers; emptied between texts when it holds more than a bound."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -35,13 +36,12 @@ class Pieces(dict):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.vocab_size())])
 
-    def __missing__(self, word: bytes) -> bytes:
-        got = np.array(self.model.encode(word.decode()), "<i4").tobytes()
-        if len(word) <= LONGEST_CACHED:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = got
-        return got
+    def learn(self, words: set[bytes]) -> None:
+        """Encodes the words that it doesn't hold, in one call."""
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        new = list(words - self.keys())
+        self.update(zip(new, (array("i", ids).tobytes() for ids in self.model.encode([w.decode() for w in new], num_threads=1)), strict=True))
 
 
 @functools.cache
@@ -87,10 +87,8 @@ def main_script(text: str) -> str:
     return SCRIPTS[int(counts.argmax())] if counts.any() else ""
 
 
-def measure(text: str | None, vocabulary: Pieces) -> tuple:
+def measure(text: str, words: list[bytes], vocabulary: Pieces) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, script and the three fertility figures of a whole text."""
-    text = text or ""
-    words = text.encode("utf-8", "replace").split()
     chars = len(text) - sum(map(text.count, SPACES))
     tokens = np.frombuffer(b"".join(map(vocabulary.__getitem__, words)), "<i4")
     base = (len(words), chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(words), main_script(text))
@@ -106,8 +104,12 @@ def text_measures(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = pieces(vocab_path)
         for batch in batches:
-            rows = [(i, *measure(t, vocabulary)) for i, t in zip(batch["i"], batch["t"], strict=True)]
-            yield pd.DataFrame(rows, columns=names)
+            for at in range(0, len(batch), 200):
+                some = batch.iloc[at : at + 200]
+                words = [t.encode("utf-8", "replace").split() for t in some["t"]]
+                vocabulary.learn(set().union(*words))
+                rows = [(i, *measure(t, w, vocabulary)) for i, t, w in zip(some["i"], some["t"], words, strict=True)]
+                yield pd.DataFrame(rows, columns=names)
 
     names = ["i", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script", *METRICS]
     kinds = f"i string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, {', '.join(f'{m} double' for m in METRICS)}"

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, keyed_text, restored
+from .common import hash_share, held_out, keyed_text, restored
 
 DIM, SEED, KNOWN_GRAMS, SHARPNESS = 512, 20_240, 40_000, 30.0
 
@@ -109,7 +109,8 @@ def fit_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
                 v = hd.bundle(text)
                 if v is not None:
                     total[lang] = total.get(lang, 0) + v / (np.linalg.norm(v) or 1)
-        yield pd.DataFrame({"l": list(total), "v": [x.astype(float).tolist() for x in total.values()]})
+        if total:
+            yield pd.DataFrame({"l": list(total), "v": [x.astype(float).tolist() for x in total.values()]})
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
     parts = rows.mapInPandas(sums, "l string, v array<double>")
@@ -131,6 +132,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "do
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hd = space(dim, seed)
         for batch in batches:
+            if batch.empty:
+                continue
             pred, score = [], []
             for text in batch["t"]:
                 v = hd.bundle(text) if names else None
@@ -150,10 +153,10 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "do
 def op1(spark, sf_dir: str, sample: int = 8000) -> DataFrame:
     """op1_language_id over the whole documents table.
 
-    Profiles are fitted on ``sample`` training rows (those whose crc32 of the id mod 4 is not 2), chosen by id hash.
+    Profiles are fitted on about ``sample`` training rows (of those whose crc32 of the id mod 4 is not 2), chosen by id hash.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    train = docs.where(~held_out("doc_id", 4, 2) & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("doc_id").alias("h"))
-    profiles = fit_profiles(train.orderBy("h").limit(sample).repartition(8, "h"))
+    train = docs.where(~held_out("doc_id", 4, 2) & F.col("lang").isNotNull())
+    profiles = fit_profiles(train.where(hash_share(sample / max(1, train.count()), 5, "doc_id")).select("text", "lang"))
     found = identify(docs, profiles)
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
