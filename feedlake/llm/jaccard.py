@@ -38,7 +38,7 @@ class Setting:
     cells: int = 1 << 22
     bins: int = 32
     small: int = 64
-    pivots: int = 4
+    pivots: int = 3
     levels: int = 2
     salts: int = 8
 
@@ -189,17 +189,28 @@ def region_pairs(regions: DataFrame, s: Setting) -> DataFrame:
     return regions.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
+def alive(often: DataFrame, s: Setting) -> DataFrame:
+    """Members (region, node, n, at) that can link with another in the region: one that has too few shingles left from the region's on
+    for the smallest size there links with no other first here."""
+    least = often.groupBy("region").agg(F.min("n").alias("least_n"), F.count(F.lit(1)).alias("all")).where(F.col("all") > 1).drop("all")
+    rows = often.withColumn("_salt", salt_of(s.salts, "node")).join(salted(least, s.salts).hint("merge"), ["region", "_salt"]).drop("_salt")
+    smallest = F.greatest("least_n", F.ceil(s.num * F.col("n") / s.den))
+    return rows.where(F.col("n") - F.col("at") >= s.least_common(F.col("n"), smallest)).drop("least_n")
+
+
 def dense_links(often: DataFrame, sets: DataFrame, s: Setting) -> tuple[DataFrame | None, DataFrame]:
     """Links found by document pivots in regions of frequent shingles, and the candidate pairs that remain.
 
-    ``often``: (region, node, n, at). Each level counts members, takes pivots by hash (a minimum that partial aggregation
-    combines), compares every member with its pivots, joins components, and splits what is not one component.
+    ``often``: (region, node, n, at, own), ``own`` the share of rare shingles. Each level counts members, takes pivots (a minimum that partial
+    aggregation combines), compares every member with its pivots, joins components, and splits what is not one component. The first pivot is the member
+    with the fewest rare shingles, which lies at the centre of a family of near copies; the others are drawn by hash.
     """
     links, rest = None, None
     member = F.struct("n", "node", "at").alias("m")
     for depth in range(s.levels):
         label = F.col("comp") if "comp" in often.columns else F.col("node")
-        picks = [F.min(F.struct(F.xxhash64(label, F.lit(100 * depth + j)), F.xxhash64("node", F.lit(depth)), F.col("node"))).alias(f"p{j}") for j in range(s.pivots)]
+        picks = [F.min(F.struct("own", F.xxhash64("node", F.lit(depth)), F.col("node"))).alias("p0")]
+        picks += [F.min(F.struct(F.xxhash64(label, F.lit(100 * depth + j)), F.col("own"), F.col("node"))).alias(f"p{j}") for j in range(1, s.pivots)]
         stats = often.groupBy("region").agg(F.count(F.lit(1)).alias("m"), *picks)
         stats = written(stats.where(F.col("m") > 1).select("region", "m", F.array_distinct(F.array(*[F.col(f"p{j}.node") for j in range(s.pivots)])).alias("pivots")), "regions")
         joined = often.withColumn("_salt", salt_of(s.salts, "node")).join(salted(stats, s.salts).hint("merge"), ["region", "_salt"]).drop("_salt")
@@ -210,7 +221,7 @@ def dense_links(often: DataFrame, sets: DataFrame, s: Setting) -> tuple[DataFram
         if large.isEmpty():
             return links, written(rest.distinct(), "pairs")
         rest = written(rest, "pairs")
-        spread = large.select("region", "node", "n", "at", F.explode("pivots").alias("pivot"))
+        spread = large.select("region", "node", "n", "at", "own", F.explode("pivots").alias("pivot"))
         apart = compared(spread.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets)
         apart = written(apart, "pivot-distances")
         new = apart.where((F.col("a") != F.col("b")) & s.linked(F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b")
@@ -221,11 +232,11 @@ def dense_links(often: DataFrame, sets: DataFrame, s: Setting) -> tuple[DataFram
         near = placed.groupBy("region", "node").agg(F.min("d").alias("least"))
         placed = placed.join(near.hint("merge"), ["region", "node"]).where(F.col("d") <= F.col("least") + 2 * s.reach + 1e-9)
         placed = placed.join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        placed = placed.select(F.xxhash64("region", "pivot").alias("region"), "node", "n", "at", "comp", "d")
+        placed = placed.select(F.xxhash64("region", "pivot").alias("region"), "node", "n", "at", "own", "comp", "d")
         # A region of one component is settled; of the others only members in reach of another component's member stay.
         mixed = placed.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("region")
         often = placed.withColumn("_salt", salt_of(s.salts, "node")).join(salted(mixed, s.salts).hint("merge"), ["region", "_salt"]).drop("_salt")
-        often = written(often, "split")
+        often = written(alive(written(often, "split"), s), "split")
     sides = [often.select("region", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "comp", "d")]) for x in "ab"]
     place = lambda x: {c: F.col(f"{c}_{x}") for c in ("n", "at")}
     on = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= s.reach + 1e-9) & _near_enough(s, place("a"), place("b"))
@@ -246,13 +257,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sig.where(F.col("doc").isNotNull() & (F.col("n") > 0))
     nodes = named.groupBy("key").agg(F.min("doc").alias("node"))
 
-    def postings(part: str) -> DataFrame:
-        some = named.where(F.size(part) > 0).groupBy("key").agg(F.min(F.struct("doc", "n", part, f"{part}_at")).alias("r"))
-        return some.select(F.col("r.doc").alias("node"), "r.n", F.explode(F.arrays_zip(F.col(f"r.{part}").alias("s"), F.col(f"r.{part}_at").alias("at"))).alias("x")).select("x.s", "node", "n", "x.at")
+    def postings(part: str, *more: Column) -> DataFrame:
+        some = named.where(F.size(part) > 0).groupBy("key").agg(F.min(F.struct("doc", "n", part, f"{part}_at", *more)).alias("r"))
+        return some.select("r.*", F.explode(F.arrays_zip(F.col(f"r.{part}").alias("s"), F.col(f"r.{part}_at").alias("place"))).alias("x")).select(
+            "x.s", F.col("doc").alias("node"), "n", F.col("x.place").alias("at"), *[c for c in ("own",) if more]
+        )
 
     rare = postings("rare").groupBy("s").agg(F.collect_list(F.struct("n", "node", "at")).alias("members")).where(F.size("members") > 1)
     pairs = written(possible(region_pairs(rare, s), sig, s), "rare-pairs")
-    often = written(postings("often").withColumnRenamed("s", "region"), "often")
+    own = F.floor(1000 * F.size("rare") / F.col("n")).cast("int").alias("own")
+    often = written(postings("often", own).withColumnRenamed("s", "region"), "often")
+    often = written(alive(often, s), "alive")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(often.select("node"))
     sets = written(needed_sets(docs, wanted, id_col, text_col, s), "sets")
     links, more = dense_links(often, sets, s)
