@@ -44,7 +44,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _mix((total[ends] - total[starts]) * inverse[starts]), starts
 
 
-def shingle_sets(texts: list[str | None], k: int, piece_bytes: int = 1_000_000) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], k: int, piece_bytes: int = 300_000) -> Iterator[np.ndarray]:
     """The sorted distinct ``k``-word shingles of each text, A-Z lower-cased; a shorter text's words are one shingle, none give an empty set."""
     at = 0
     while at < len(texts):
