@@ -41,6 +41,7 @@ class Setting:
     pivots: int = 3
     levels: int = 2
     salts: int = 8
+    broadcast_shingles: int = 2_000_000
 
     @property
     def reach(self) -> float:
@@ -165,11 +166,11 @@ def needed_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, s
     return rows.mapInPandas(run, "node long, shingles array<long>").where(F.size("shingles") > 0)
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, n_a, n_b) for each pair (a, b), from whole sets."""
+def compared(pairs: DataFrame, sets: DataFrame, second: DataFrame | None = None) -> DataFrame:
+    """(a, b, common, n_a, n_b) for each pair (a, b), from whole sets. ``second``: the sets of all b, if they are small enough to broadcast."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    right = (sets if second is None else second).select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge" if second is None else "broadcast"), "b")
     return both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), F.size("x").cast("long").alias("n_a"), F.size("y").cast("long").alias("n_b"))
 
 
@@ -221,8 +222,10 @@ def dense_links(often: DataFrame, sets: DataFrame, s: Setting) -> tuple[DataFram
         if large.isEmpty():
             return links, written(rest.distinct(), "pairs")
         rest = written(rest, "pairs")
-        spread = large.select("region", "node", "n", "at", "own", F.explode("pivots").alias("pivot"))
-        apart = compared(spread.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets)
+        spread = large.select("region", "node", "n", "at", "own", "m", F.explode("pivots").alias("pivot"))
+        own = written(sets.join(spread.select(F.col("pivot").alias("node")).distinct().hint("merge"), "node", "left_semi"), "pivot-sets")
+        small = (own.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= s.broadcast_shingles
+        apart = compared(spread.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets, own if small else None)
         apart = written(apart, "pivot-distances")
         new = apart.where((F.col("a") != F.col("b")) & s.linked(F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b")
         links = written(new if links is None else links.unionByName(new), "links")
@@ -231,6 +234,10 @@ def dense_links(often: DataFrame, sets: DataFrame, s: Setting) -> tuple[DataFram
         placed = spread.join(away.hint("merge"), ["node", "pivot"])
         near = placed.groupBy("region", "node").agg(F.min("d").alias("least"))
         placed = placed.join(near.hint("merge"), ["region", "node"]).where(F.col("d") <= F.col("least") + 2 * s.reach + 1e-9)
+        # A Voronoi region whose window holds every member covers all pairs of its parent; the others are then left out.
+        whole = placed.groupBy("region", "pivot").agg(F.count(F.lit(1)).alias("k"), F.max("m").alias("m")).groupBy("region").agg(F.min(F.when(F.col("k") >= F.col("m"), F.col("pivot"))).alias("only"))
+        placed = placed.withColumn("_salt", salt_of(s.salts, "node")).join(salted(whole, s.salts).hint("merge"), ["region", "_salt"]).drop("_salt")
+        placed = placed.where(F.col("only").isNull() | (F.col("only") == F.col("pivot")))
         placed = placed.join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         placed = placed.select(F.xxhash64("region", "pivot").alias("region"), "node", "n", "at", "own", "comp", "d")
         # A region of one component is settled; of the others only members in reach of another component's member stay.
