@@ -6,7 +6,8 @@ ordered rare first, and it owns the region of the first and is replicated to tho
 (a prefix of its shingles in that order). Two sets that link share a region. Regions of rare shingles are small. Regions of
 frequent shingles only get sets that consist of frequent shingles nearly alone; there texts are near each other, so documents of
 the region serve as pivots and the regions are split again: members go to the Voronoi region of the nearest pivot and,
-within twice the distance bound, to others. Members linked to one component already need no check among themselves.
+within twice the distance bound, to others. For classes, members linked to one
+component already need no check among themselves; for links, jaccard_links() and jaccard_join() then compare all pairs of a class.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ class Setting:
     levels: int = 2
     salts: int = 8
     broadcast_shingles: int = 2_000_000
+    block: int = 256
 
     @property
     def reach(self) -> float:
@@ -251,15 +253,8 @@ def dense_links(often: DataFrame, sets: DataFrame, s: Setting) -> tuple[DataFram
     return links, written(rest.unionByName(left).distinct(), "pairs")
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting: Setting | None = None) -> DataFrame:
-    """id, ``n_shingles`` and ``component_id`` for each row of ``docs``: exact single-link classes of the Jaccard join.
-
-    Words are runs without ASCII white space, A-Z lower-cased; a text of fewer than k words is one shingle; null texts and texts without
-    words have an empty set, link with nothing and are their own class. component_id is the smallest id reachable, itself included.
-    A row with a null id takes no part and has a null component_id; rows that share id and text are equal rows; extra columns are not
-    used; an empty table gives an empty table. Equal sets are one node (the smallest id), so copies are never expanded to pairs.
-    """
-    s = setting or Setting()
+def _tables(docs: DataFrame, id_col: str, text_col: str, s: Setting) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of the rows, (key, node, comp) for each distinct set, and (node, shingles) for at least the nodes of classes of two or more."""
     sig = written(signatures(docs, id_col, text_col, s), "signatures")
     named = sig.where(F.col("doc").isNotNull() & (F.col("n") > 0))
     nodes = named.groupBy("key").agg(F.min("doc").alias("node"))
@@ -288,11 +283,151 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = components(links)
     links = written(links.unionByName(linked_pairs(unlinked(pairs, comps), sets, s)), "links")
     comps = components(links)
-    classes = nodes.join(comps.hint("merge"), "node", "left").select("key", F.coalesce("comp", "node").alias("comp"))
+    classes = nodes.join(comps.hint("merge"), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    return sig, classes, sets
+
+
+def _members(sig: DataFrame, classes: DataFrame, s: Setting) -> DataFrame:
+    """``classes`` on each row's set; salted, as a set may have many copies."""
     keyed = sig.select("doc", "n", "key").withColumn("_salt", salt_of(s.salts, "doc"))
-    out = keyed.join(salted(classes, s.salts).hint("merge"), ["key", "_salt"], "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("comp", "doc")).alias("component_id"))
+    return keyed.join(salted(classes, s.salts).hint("merge"), ["key", "_salt"], "left")
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting: Setting | None = None) -> DataFrame:
+    """id, ``n_shingles`` and ``component_id`` for each row of ``docs``: exact single-link classes of the Jaccard join.
+
+    Words are runs without ASCII white space, A-Z lower-cased; a text of fewer than k words is one shingle; null texts and texts without
+    words have an empty set, link with nothing and are their own class. component_id is the smallest id reachable, itself included.
+    A row with a null id takes no part and has a null component_id; rows that share id and text are equal rows; extra columns are not
+    used; an empty table gives an empty table. Equal sets are one node (the smallest id), so copies are never expanded to pairs.
+    """
+    s = setting or Setting()
+    sig, classes, _ = _tables(docs, id_col, text_col, s)
+    return _members(sig, classes, s).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("comp", "doc")).alias("component_id"))
+
+
+def class_cells(sig: DataFrame, classes: DataFrame, s: Setting) -> DataFrame:
+    """(comp, band, i, j, side, node, w): the sets of each class of two or more, dealt to cells so that each pair of a class
+    that can link meets in exactly one cell. ``w`` is the number of rows with the set.
+
+    A class of up to ``block`` sets is one cell. A larger one has bands of set size, so wide that links stay in a band or go to the next, and
+    blocks by hash in each; the cells are the pairs of blocks of a band (2 * band) and of a band and the next (2 * band + 1).
+    """
+    copies = sig.where(F.col("doc").isNotNull() & (F.col("n") > 0)).select("key", "doc", "n").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("w"), F.first("n").alias("n"))
+    width = float(np.log(s.den / s.num)) * (1 + 1e-9) if s.num < s.den else 1e-9
+    nodes = classes.join(copies.hint("merge"), "key").withColumn("b", F.floor(F.log(F.col("n")) / width))
+    large = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.collect_set("b").alias("bands")).where(F.col("m") > 1)
+    large = large.withColumn("g", F.ceil(F.col("m") / s.block).cast("int"))
+    rows = nodes.withColumn("_salt", salt_of(s.salts, "node")).join(salted(large, s.salts).hint("merge"), ["comp", "_salt"])
+    rows = rows.withColumn("k", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("g") - 1)
+    cell = lambda band, i, j, side: F.struct(band.cast("long").alias("band"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    k, b, none = F.col("k"), F.col("b"), F.array().cast("array<struct<band:bigint,i:int,j:int,side:int>>")
+    within = F.transform(others, lambda o: cell(2 * b, F.least(k, o), F.greatest(k, o), k > o))
+    low = F.when(F.array_contains("bands", b + 1), F.transform(others, lambda o: cell(2 * b + 1, k, o, F.lit(0)))).otherwise(none)
+    high = F.when(F.array_contains("bands", b - 1), F.transform(others, lambda o: cell(2 * b - 1, o, k, F.lit(1)))).otherwise(none)
+    one = F.array(cell(F.lit(0), F.lit(0), F.lit(0), F.lit(0)))
+    dealt = rows.select("comp", "node", "w", F.explode(F.when(F.col("g") == 1, one).otherwise(F.concat(within, low, high))).alias("c"))
+    return dealt.select("comp", "c.*", "node", "w")
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray] | None = None, columns: int = 4096) -> np.ndarray:
+    """The sizes of the intersections of each set of ``x`` with each of ``y`` (of ``x`` itself if not given); sets hold distinct values."""
+    sets, m = x + (y or []), len(x)
+    which = np.repeat(np.arange(len(sets)), [len(h) for h in sets])
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Only shingles that two sets hold count; they are taken some columns at a time.
+    place = (np.cumsum(n > 1) - 1)[at]
+    held = n[at] > 1
+    which, place = which[held], place[held]
+    order = np.argsort(place, kind="stable")
+    which, place = which[order], place[order]
+    total = np.zeros((m, len(y) if y is not None else m), np.int64)
+    for start in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        lo, hi = np.searchsorted(place, (start, start + columns))
+        some = np.zeros((len(sets), min(columns, int(place[-1]) + 1 - start)), np.float32)
+        some[which[lo:hi], place[lo:hi] - start] = 1
+        total += (some[:m] @ (some[m:] if y is not None else some).T).astype(np.int64)
+    return total
+
+
+def cell_links(cells: DataFrame, sets: DataFrame, s: Setting, pairs: bool) -> DataFrame:
+    """All links of the cells: (a, b, common, n_a, n_b) with a < b, or, without ``pairs``, (node, links), the rows that each cell links to a node."""
+
+    def compare(rows: list) -> pd.DataFrame:
+        unique = {(r.side, r.node): r for r in rows}
+        sides = [[r for r in unique.values() if r.side == side] for side in (0, 1)]
+        i, j = int(rows[0].i), int(rows[0].j)
+        across = rows[0].band % 2 == 1 or i != j
+        left, right = sides[0], sides[1] if across else sides[0]
+        if not left or not right:
+            return pd.DataFrame({c: np.empty(0, np.int64) for c in names})
+        arrays = [[np.asarray(r.shingles, np.int64) for r in side] for side in (left, right)]
+        common = common_counts(arrays[0], arrays[1] if across else None)
+        sizes = [np.array([len(h) for h in a], np.int64) for a in arrays]
+        linked = s.den * common >= s.num * (sizes[0][:, None] + sizes[1][None, :] - common)
+        if not across:
+            np.fill_diagonal(linked, False)
+        ids = [np.array([r.node for r in side], np.int64) for side in (left, right)]
+        if pairs:
+            p, q = np.nonzero(linked if across else np.triu(linked))
+            a, b, swap = ids[0][p], ids[1][q], ids[0][p] > ids[1][q]
+            n_a, n_b = sizes[0][p], sizes[1][q]
+            return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "common": common[p, q], "n_a": np.where(swap, n_b, n_a), "n_b": np.where(swap, n_a, n_b)})
+        w = [np.array([r.w for r in side], np.int64) for side in (left, right)]
+        out = pd.DataFrame({"node": ids[0], "links": linked.astype(np.int64) @ w[1]})
+        return pd.concat((out, pd.DataFrame({"node": ids[1], "links": linked.T.astype(np.int64) @ w[0]}))) if across else out
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted by cell; only the cell at hand is held, and small results are sent together.
+        at, held, made, size = None, [], [], 0
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if (key := (r.comp, r.band, r.i, r.j)) != at:
+                    if len(held) > 1:
+                        made.append(compare(held))
+                        size += len(made[-1])
+                        if size > 10_000:
+                            yield pd.concat(made)
+                            made, size = [], 0
+                    at, held = key, []
+                held.append(r)
+        if len(held) > 1:
+            made.append(compare(held))
+        if made:
+            yield pd.concat(made)
+
+    names = ["a", "b", "common", "n_a", "n_b"] if pairs else ["node", "links"]
+    key = ["comp", "band", "i", "j"]
+    dealt = cells.join(sets.hint("merge"), "node").select(*key, "side", "node", "w", "shingles").repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInPandas(run, ", ".join(f"{c} long" for c in names))
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting: Setting | None = None) -> tuple[DataFrame, DataFrame]:
+    """The whole join: (a, b, common, n_a, n_b) for every pair a < b of different sets that link, each under the smallest id that has it,
+    and (id, node) for each row: the id that stands for its set, null for empty sets and null ids. Copies are links through their common node."""
+    s = setting or Setting()
+    sig, classes, sets = _tables(docs, id_col, text_col, s)
+    members = _members(sig, classes, s).select(F.col("doc").alias(id_col), F.when(F.col("doc").isNotNull(), F.col("node")).alias("node"))
+    return cell_links(class_cells(sig, classes, s), sets, s, True).distinct(), members
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting: Setting | None = None) -> DataFrame:
+    """jaccard_classes() with ``n_links`` for each row: how many other rows its set links with, copies of it included.
+
+    All pairs of different sets in a class are compared, whole; links cannot leave a class. Rows that share id and set count once.
+    Empty sets have no links; a null id takes no part and has null.
+    """
+    s = setting or Setting()
+    sig, classes, sets = _tables(docs, id_col, text_col, s)
+    classes = written(classes, "classes")
+    links = cell_links(class_cells(sig, classes, s), sets, s, False).groupBy("node").agg(F.sum("links").alias("links"))
+    counted = classes.join(links.hint("merge"), "node", "left")
+    copies = sig.where(F.col("doc").isNotNull() & (F.col("n") > 0)).select("key", "doc").distinct().groupBy("key").agg((F.count(F.lit(1)) - 1).alias("copies"))
+    counted = counted.join(copies.hint("merge"), "key").select("key", "comp", (F.coalesce("links", F.lit(0)) + F.col("copies")).alias("links"))
+    out = _members(sig, written(counted, "counted"), s)
+    known = lambda c: F.when(F.col("doc").isNotNull(), c)
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), known(F.coalesce("comp", "doc")).alias("component_id"), known(F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
 
 def possible(pairs: DataFrame, sig: DataFrame, s: Setting) -> DataFrame:
     """Pairs that sizes and bin counts allow: the bins' differences bound the symmetric difference from below."""
@@ -325,5 +460,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    """op3_jaccard_join over the whole documents table: 4-word shingles, similarity 0.85."""
-    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """op3_jaccard_join over the whole documents table, with the links of each document: 4-word shingles, similarity 0.85."""
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

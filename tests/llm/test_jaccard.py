@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from feedlake.llm.jaccard import Setting, jaccard_classes, one_of_each
+from feedlake.llm.jaccard import Setting, jaccard_classes, jaccard_join, jaccard_links, one_of_each
 from feedlake.llm.shingles import shingle_sets
 
 from .cases import no_docs, odd_docs
@@ -84,3 +84,35 @@ def test_one_of_each_and_empty(spark):
     want = classes.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).count()
     assert kept.count() == want and kept.columns == docs.columns
     assert jaccard_classes(no_docs(spark)).count() == 0 and one_of_each(no_docs(spark)).count() == 0
+
+
+def check_links(spark, texts, setting):
+    docs = odd_docs(spark, texts)
+    rows = sorted({(r.doc_id, r.text) for r in docs.collect()}, key=repr)
+    sets = [sets_of(t, setting.k) for _, t in rows]
+    near = lambda a, b: bool(a and b) and setting.den * len(a & b) >= setting.num * len(a | b)
+    named = [i for i, (d, _) in enumerate(rows) if d is not None]
+    n = {i: sum(j != i and near(sets[i], sets[j]) for j in named) for i in named}
+    got = jaccard_join(docs, setting=setting)
+    assert sorted({(r.doc_id, r.n_links) for r in got.collect()}, key=repr) == sorted({(d, n.get(i)) for i, (d, _) in enumerate(rows)}, key=repr)
+    assert sorted(map(tuple, got.drop("n_links").collect()), key=repr) == sorted(map(tuple, jaccard_classes(docs, setting=setting).collect()), key=repr)
+    first = {}
+    for i in named:
+        if sets[i]:
+            first[frozenset(sets[i])] = min(first.get(frozenset(sets[i]), rows[i][0]), rows[i][0])
+    want = sorted((a, b, len(x & y), len(x), len(y)) for x, a in first.items() for y, b in first.items() if a < b and near(x, y))
+    links, members = jaccard_links(docs, setting=setting)
+    assert sorted(map(tuple, links.collect())) == want
+    assert {tuple(r) for r in members.collect()} == {(d, first.get(frozenset(s)) if d is not None else None) for (d, _), s in zip(rows, sets, strict=True)}
+    return want
+
+
+def test_links_inside_a_family_are_all_found(spark):
+    words = [f"w{i}" for i in range(100)]
+    family = [" ".join(words[:60] + ["a"] * (i == 1) + ["b"] * (i == 2) + words[60:]) for i in range(3)]
+    assert {(a, b) for a, b, *_ in check_links(spark, [*family, family[0]], Setting())} == {(100, 101), (100, 102), (101, 102)}
+
+
+def test_links_over_blocks_and_bands(spark):
+    steps = [" ".join(f"s{i}" for i in range(n)) for n in range(40, 140, 3)]
+    check_links(spark, corpus(6, 1, 30, 4) + steps, Setting(cells=1 << 16, block=4))
