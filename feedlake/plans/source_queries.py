@@ -46,6 +46,12 @@ def links(spark, sf):
     return payloads.post_links(lines).select("external_id", F.array_join("links", ",").alias("links"))
 
 
+@query("n01_post_links_all")
+def all_links(spark, sf):
+    """n01_post_links over all posts, those with links in their own text too, which its SQL leaves out."""
+    return payloads.post_links(post_lines(spark, sf).where("seq >= 0")).select("external_id", F.array_join("links", ",").alias("links"))
+
+
 @query("n02_lane_guard", f"SELECT substr(sha256('x:' || doc_id), 1, 32) AS article_id, author FROM articles a WHERE source = 'x' AND collected_at BETWEEN {START} AND {TO} AND EXISTS (SELECT 1 FROM handles h WHERE h.monitor_id = 'm3' AND h.handle = lower(a.author))")
 def lane(spark, sf):
     handles = quality.monitored_handles(monitors(spark), accounts(spark)).where("monitor_id = 'm3'")
@@ -72,7 +78,16 @@ def releases(spark, sf):
 
 @query("n06_feeds", f"SELECT substr(sha256('rss:' || url), 1, 32) AS article_id, url, min(collected_at // 1000 * 1000) AS published_at FROM articles WHERE source = 'rss' AND collected_at BETWEEN {START} AND {TO} AND doc_id < 950 GROUP BY 1, 2")
 def feeds(spark, sf):
-    a = articles(spark, sf).where("source = 'rss' AND doc_id < 950")
+    return feed_rows(articles(spark, sf).where("source = 'rss' AND doc_id < 950"))
+
+
+@query("n06_feeds_all")
+def all_feeds(spark, sf):
+    """n06_feeds over all feed articles, where many share a URL; its SQL holds for the first ids only."""
+    return feed_rows(articles(spark, sf).where("source = 'rss'"))
+
+
+def feed_rows(a):
     rss = a.where("doc_id % 2 = 0").selectExpr("doc_id AS seq", "concat('<rss><channel><item><title>T &amp; ', doc_id, '</title><link>', url, '?utm_source=feed#x</link><description>some &lt;b&gt;text&lt;/b&gt;</description><pubDate>', date_format(timestamp_millis(collected_at), 'EEE, dd MMM yyyy HH:mm:ss'), ' GMT</pubDate></item></channel></rss>') AS xml")
     atom = a.where("doc_id % 2 = 1").selectExpr("doc_id AS seq", f"concat('<feed><entry><title>A ', doc_id, '</title><link rel=\"self\" href=\"https://self.example/\"/><link rel=\"alternate\" href=\"', url, '\"/><summary>s</summary><updated>', {ISO.format('collected_at')}, '</updated></entry></feed>') AS xml")
     return payloads.feeds(rss.unionByName(atom), START, TO).select("article_id", "url", "published_at")
