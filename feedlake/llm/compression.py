@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import hash_share, held_out
 
-LEVEL, CHUNK = 3, 4096
+LEVEL, CHUNK, BLOCK = 3, 4096, 1024
 
 
 @dataclass(frozen=True)
@@ -76,8 +76,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _sampled(docs: DataFrame, labelled: DataFrame, share: dict[int, int], id_col: str, text_col: str, per_class: int, longest: int) -> list:
-    """About ``per_class`` labelled texts of each class, by id hash, each cut to ``longest`` code points for fitting.
+def _sampled(docs: DataFrame, labelled: DataFrame, share: dict[int, int], id_col: str, text_col: str, per_class: int) -> list:
+    """About ``per_class`` labelled texts of each class, by id hash, whole.
 
     The share to take of each class follows from its count, so about 2 * per_class ids are broadcast and as many texts collected at any size.
     """
@@ -85,28 +85,42 @@ def _sampled(docs: DataFrame, labelled: DataFrame, share: dict[int, int], id_col
     for y in (0, 1):
         take |= (F.col("_y") == y) & hash_share(per_class / max(1, share.get(y, 0)), 11, "_i")
     chosen = labelled.where(take).distinct()
-    got = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_i")).select("_i", "_y", F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, longest).alias("t"))
+    got = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_i")).select("_i", "_y", F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return sorted(got.distinct().collect(), key=lambda r: (zlib.crc32(str(r._i).encode()), r.t))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train: Column | None = None, per_class: int = 2000, longest: int = 12_000, book_bytes: int = 524_288) -> Classifier | None:
-    """Fits dictionaries and calibration on a bounded sample: about ``per_class`` labelled rows of each class, ``longest`` code points of each.
+def drawn(texts: list[str], book_bytes: int) -> bytes:
+    """Up to ``book_bytes`` of the texts, in blocks of ``BLOCK`` bytes from all positions, chosen by hash."""
+    blocks = []
+    for k, t in enumerate(texts):
+        data = t.encode("utf-8", "replace")
+        blocks += [(zlib.crc32(f"{k} {at}".encode()), k, at, data[at : at + BLOCK]) for at in range(0, len(data), BLOCK)]
+    out, size = [], 0
+    for *_, block in sorted(blocks):
+        if size + len(block) > book_bytes:
+            break
+        out.append(block)
+        size += len(block)
+    return b"".join(out)
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train: Column | None = None, per_class: int = 2000, book_bytes: int = 524_288) -> Classifier | None:
+    """Fits dictionaries and calibration on a bounded sample: about ``per_class`` labelled rows of each class, with whole texts.
 
-    Two thirds of the sample fill the dictionaries, shortest-first slices so that many documents take part; the rest calibrates a logistic
-    score, weighted back to the classes' shares among all labelled rows. None if a class has no row.
+    Two thirds of the sample fill the dictionaries, by blocks that drawn() takes from all positions; the rest calibrates a logistic
+    score on whole texts as they are scored, weighted back to the classes' shares among all labelled rows. None if a class has no row.
     """
     train = F.lit(True) if train is None else train
     labelled = labels.where(train & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("_y"))
     share = {r._y: r.n for r in labelled.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = _sampled(docs, labelled, share, id_col, text_col, per_class, longest)
+    rows = _sampled(docs, labelled, share, id_col, text_col, per_class)
     if {r._y for r in rows} != {0, 1}:
         return None
     books, rest = [], []
     for y in (0, 1):
         own = [r.t for r in rows if r._y == y]
         n = max(1, 2 * len(own) // 3)
-        each = max(512, book_bytes // n)
-        books.append(b"".join(t.encode("utf-8", "replace")[:each] for t in own[:n])[-book_bytes:] or b"." * 8)
+        books.append(drawn(own[:n], book_bytes) or b"." * 8)
         rest += [(t, y) for t in own[n:] or own]
     bad, good = books
     raw = np.array([features(t, good, bad) for t, _ in rest])
