@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed_text, restored, written
@@ -122,8 +122,9 @@ def apply_rules(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
     Base rules: fewer than ``min_words`` words, or more than ``repeat_percent`` per cent of words in repeated five-word windows.
     Fertility: the bands of a script and length class (words, by powers of two: entropy grows with length) reach ``spread``
     times the distance from the median to the outer twentieths of all their documents that passed the base rules, with
-    a floor on that distance; a document with a figure outside is rejected. A class of fewer than ``min_docs`` documents has no band.
-    The bands have at most one row for each of the fixed list of scripts and 63 lengths, so they are broadcast.
+    a floor on that distance; a document with a figure outside is rejected. A class of fewer than ``min_docs`` documents takes the band of
+    its whole script, and if that has fewer too, of all documents; there entropy is divided by that of as many different words, so that lengths compare.
+    So every document that passed the base rules is judged. The bands have at most one row for each of the fixed list of scripts and 63 lengths, so they are broadcast.
     A null text is the empty text: no words, base_failed. Repeated rows give equal rows; other columns are not used.
     The measures are written to the shared folder once, and bands and verdicts read them from there.
     """
@@ -131,15 +132,26 @@ def apply_rules(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * repeat_percent)
     rows = rows.withColumn("base_failed", failed).withColumn("_length", F.floor(F.log2(F.col("n_words") + 1)))
     floors = {"chars_per_token": 0.15, "fallback_share": 0.02, "token_entropy": 0.5}
-    cuts = [F.percentile_approx(m, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), 10_000).alias(f"_{m}") for m in METRICS]
-    bands = rows.where(~F.col("base_failed")).groupBy("script", "_length").agg(F.count(F.lit(1)).alias("_n"), *cuts).where(F.col("_n") >= min_docs)
-    outside = F.lit(False)
-    for m in METRICS:
-        low, mid, high = (F.get(f"_{m}", F.lit(k)) for k in range(3))
-        outside |= F.col(m) < mid - spread * F.greatest(mid - low, F.lit(floors[m]))
-        outside |= F.col(m) > mid + spread * F.greatest(high - mid, F.lit(floors[m]))
-    out = rows.join(F.broadcast(bands), ["script", "_length"], "left").withColumn("fertility_failed", F.coalesce(outside, F.lit(False)))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("fertility_failed")).drop("_n", "_length", *[f"_{m}" for m in METRICS])
+    most = F.greatest(F.log2(F.col("n_words") + 1), F.lit(1.0))
+    unit = lambda m, pooled: most if pooled and m == "token_entropy" else F.lit(1.0)
+
+    def bands(level: str, *keys: str) -> DataFrame:
+        cuts = [F.percentile_approx(F.col(m) / unit(m, level != "class"), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), 10_000).alias(m) for m in METRICS]
+        found = rows.where(~F.col("base_failed")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *cuts)
+        return F.broadcast(found.select(*keys, F.when(F.col("n") >= (1 if level == "all" else min_docs), F.struct(*METRICS)).alias(f"_{level}")))
+
+    def outside(level: str) -> Column:
+        found = F.lit(False)
+        for m in METRICS:
+            low, mid, high = (F.get(F.col(f"_{level}")[m], F.lit(k)) for k in range(3))
+            value, floor = F.col(m) / unit(m, level != "class"), F.lit(floors[m]) / unit(m, level != "class")
+            found |= (value < mid - spread * F.greatest(mid - low, floor)) | (value > mid + spread * F.greatest(high - mid, floor))
+        return found
+
+    out = rows.join(bands("class", "script", "_length"), ["script", "_length"], "left").join(bands("script", "script"), "script", "left").crossJoin(bands("all"))
+    judged = F.when(F.col("_class").isNotNull(), outside("class")).when(F.col("_script").isNotNull(), outside("script")).otherwise(outside("all"))
+    out = out.withColumn("fertility_failed", F.coalesce(judged, F.lit(False))).select(*rows.drop("_length").columns, "fertility_failed")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("fertility_failed"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
