@@ -31,10 +31,10 @@ def canonical_edges(keyed: DataFrame) -> DataFrame:
     return edges[0].unionByName(edges[1]).distinct()
 
 
-def canonical_groups(articles: DataFrame, spark: SparkSession, rounds: int = 20) -> DataFrame:
+def canonical_groups(articles: DataFrame, spark: SparkSession) -> DataFrame:
     """(article_id, canonical_id): the first row by (collected_at, id) of each connected component of the links.
 
-    Labels spread over links until nothing changes; rounds are checkpointed in the shared folder where one is set.
+    Labels spread over links until nothing changes, and each round also takes the label of the new label, so chains halve; rounds are checkpointed in the shared folder where one is set.
     """
     keyed = match_keys(articles)
     rank = F.struct("collected_at", "article_id")
@@ -42,9 +42,11 @@ def canonical_groups(articles: DataFrame, spark: SparkSession, rounds: int = 20)
     both = edges.unionByName(edges.select(F.col("other_id").alias("article_id"), F.col("article_id").alias("other_id"))).distinct()
     both = _cut(both, spark)
     labels = keyed.groupBy("article_id").agg(F.min(rank).alias("label"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("article_id").alias("other_id"), F.col("label").alias("l")), "other_id").groupBy("article_id").agg(F.min("l").alias("near"))
         step = labels.join(near, "article_id", "left").select("article_id", "label", F.least("label", "near").alias("next"))
+        jump = labels.select(F.col("article_id").alias("via"), F.col("label").alias("beyond"))
+        step = step.join(jump, F.col("next.article_id") == F.col("via"), "left").select("article_id", "label", F.least("next", "beyond").alias("next"))
         step = _cut(step, spark)
         labels = step.select("article_id", F.col("next").alias("label"))
         if step.where(F.col("next") != F.col("label")).isEmpty():
