@@ -92,6 +92,13 @@ def observe_batch(posts: DataFrame, checks: DataFrame, minutes: int, least: int)
 
 
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and returns its memory table; for tests and small reports."""
+    """Runs a stream over what is there now and returns its result.
+
+    Appended rows are written as Parquet beside the checkpoint and read from there; only other modes, for results of a small size, use a memory table.
+    """
+    if mode == "append":
+        path = f"{checkpoint}-out"
+        df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return df.sparkSession.table(name)
