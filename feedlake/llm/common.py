@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,28 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """While it holds, batches for Python have at most ``rows`` rows: for actions on rows that carry whole sets or records."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``gone``; rows with a null id stay.
+
+    The ids are written and counted: up to ``broadcast_rows`` they are broadcast, and ``docs`` are not shuffled; beyond that the join is a merge join.
+    """
+    name = gone.columns[0]
+    gone = written(gone, "gone")
+    return docs.join(gone.hint("broadcast" if gone.count() <= broadcast_rows else "merge"), docs[id_col] == gone[name], "left_anti")
+
+
 def fingerprint(text: Column | str) -> Column:
     """Tells rows with the same id but other text apart; with the id it identifies a row."""
     return F.xxhash64(text if isinstance(text, Column) else F.col(text))
