@@ -29,6 +29,8 @@ from .components import components
 from .shingles import shingle_sets
 
 BLOCK = 1 << 16
+#: Steps of a cell's count for each power of two; a count of 32 bits fits into a byte.
+STEPS = 7
 
 
 @dataclass(frozen=True)
@@ -39,7 +41,7 @@ class Setting:
     num: int = 85
     den: int = 100
     cells: int = 1 << 22
-    bins: int = 32
+    bins: int = 128
     small: int = 64
     pivots: int = 3
     levels: int = 4
@@ -65,9 +67,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingle_ranks(docs: DataFrame, text_col: str, s: Setting) -> np.ndarray:
-    """A rank for each hash cell, 0 for rare: how many documents hold a shingle of the cell, in powers of two above twice the mean.
+    """A rank for each hash cell, 0 for rare: how many documents hold a shingle of the cell, in octaves of what exceeds the count of a cell of rare shingles.
 
-    All documents count. Tasks send one block of counts for each 65,536 cells, which meet in two steps; the result has a fixed
+    That is the mean of the lower half of the cells and four standard deviations of a count of that size. All documents count. Tasks send one block of counts for each 65,536 cells, which meet in two steps; the result has a fixed
     size. Any ranks give exact results; good ones keep frequent shingles out of the regions.
     """
     blocks = s.cells // BLOCK
@@ -84,31 +86,45 @@ def shingle_ranks(docs: DataFrame, text_col: str, s: Setting) -> np.ndarray:
                     held, size = [], 0
         if held:
             total += np.bincount((np.concatenate(held) % np.uint64(s.cells)).astype(np.int64), minlength=s.cells).astype(np.uint32)
-        part = TaskContext.get().partitionId() % 64
+        part = TaskContext.get().partitionId() % 8
         for b in range(blocks):
             some = total[b * BLOCK : (b + 1) * BLOCK]
             if some.any():
                 some = some.astype(np.uint16) if some.max() < 1 << 16 else some
                 yield pd.DataFrame({"block": [b], "part": [part], "n": [some.tobytes()]})
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BLOCK, np.uint64)
-        for n in rows["n"]:
-            total += np.frombuffer(n, np.uint16 if len(n) == 2 * BLOCK else np.uint32)
-        return pd.DataFrame({"block": rows["block"][:1], "part": [0], "n": [np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()]})
-
-    def level(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(add(rows)["n"][0], np.uint32)
-        return pd.DataFrame({"block": rows["block"][:1], "part": [0], "n": [np.floor(4 * np.log2(total + 1.0)).astype(np.uint8).tobytes()]})
-
-    counts = docs.select(F.col(text_col).alias("t")).mapInPandas(count, kinds)
-    merged = counts.groupBy("block", "part").applyInPandas(add, kinds).groupBy("block").applyInPandas(level, kinds)
-    quarter = np.zeros(s.cells, np.uint8)
+    def added(last: bool):
+        """Adds up the rows of each block and part, which come together; the last step gives levels in place of counts."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, total = None, None
+            for batch in batches:
+                for block, part, n in zip(batch["block"], batch["part"], batch["n"], strict=True):
+                    if (block, part) != at:
+                        if at:
+                            yield out(at, total)
+                        at, total = (block, part), np.zeros(BLOCK, np.uint64)
+                    total += np.frombuffer(n, np.uint16 if len(n) == 2 * BLOCK else np.uint32)
+            if at:
+                yield out(at, total)
+
+        def out(at: tuple, total: np.ndarray) -> pd.DataFrame:
+            n = np.minimum(total, (1 << 32) - 1)
+            n = np.floor(STEPS * np.log2(n + 1.0)).astype(np.uint8) if last else n.astype(np.uint32)
+            return pd.DataFrame({"block": [at[0]], "part": [at[1]], "n": [n.tobytes()]})
+
+        return run
+
+    key = ["block", "part"]
+    merged = docs.select(F.col(text_col).alias("t")).mapInPandas(count, kinds).repartition(*key).sortWithinPartitions(*key).mapInPandas(added(False), kinds)
+    merged = merged.withColumn("part", F.lit(0)).repartition(*key).sortWithinPartitions(*key).mapInPandas(added(True), kinds)
+    level_of = np.zeros(s.cells, np.uint8)
     for r in merged.collect():
-        quarter[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.n, np.uint8)
-    mean = (2 ** (quarter / 4.0) - 1).mean()
-    above = quarter / 4.0 - np.log2(2 * mean + s.small)
-    return np.clip(np.floor(above) + 1, 0, 30).astype(np.uint8)
+        level_of[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.n, np.uint8)
+    counts = 2 ** ((level_of + 0.5) / STEPS) - 1
+    usual = counts[counts <= np.median(counts)].mean()
+    above = counts - usual - 4 * np.sqrt(usual) - 4
+    return np.where(above > 0, np.clip(np.log2(np.maximum(above, 1)) + 1, 1, 60), 0).astype(np.uint8)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, s: Setting) -> DataFrame:
@@ -139,7 +155,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, s: Setting) -> DataF
                         first = np.argsort(r, kind="stable")
                     first = first[:width]
                     rare = int((r[first] == 0).sum())
-                    bins = np.bincount((h >> np.uint64(40)).astype(np.int64) % s.bins, minlength=s.bins)
+                    bins = np.minimum(np.bincount((h >> np.uint64(40)).astype(np.int64) % s.bins, minlength=s.bins), 32_767).astype(np.int16)
                     first = h[first].view(np.int64)
                     rows.append((n, key, bins, 1000 * rare // n, first[:rare], first[rare:]))
                 yield pd.DataFrame(rows, columns=["n", "key", "bins", "own", "rare", "often"]).assign(doc=some["doc"].to_numpy())[names]
@@ -147,7 +163,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, s: Setting) -> DataF
     names = ["doc", "n", "key", "bins", "own", "rare", "often"]
     # Ids travel as strings: pandas would read longs with nulls as floats.
     rows = _rows(docs, id_col, text_col).withColumn("doc", F.col("doc").cast("string"))
-    return rows.mapInPandas(run, "doc string, n long, key binary, bins array<int>, own int, rare array<long>, often array<long>").withColumn("doc", F.col("doc").cast("long"))
+    return rows.mapInPandas(run, "doc string, n long, key binary, bins array<smallint>, own int, rare array<long>, often array<long>").withColumn("doc", F.col("doc").cast("long"))
 
 
 def split_regions(postings: DataFrame, s: Setting) -> DataFrame:
@@ -202,7 +218,7 @@ def split_regions(postings: DataFrame, s: Setting) -> DataFrame:
 def possible(pairs: DataFrame, heads: DataFrame, s: Setting) -> DataFrame:
     """Pairs (a, b), a < b, of nodes from pairs of documents, as far as sizes and bin counts allow: the bins' differences bound the symmetric difference from below."""
     side = lambda x: heads.select(F.col("doc").alias(x), F.col("node").alias(f"node_{x}"), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}"))
-    apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda t, x: t + x)
     most = F.col("n_a") + F.col("n_b") - 2 * s.least_common(F.col("n_a"), F.col("n_b"))
     near = (F.lit(s.den) * F.least("n_a", "n_b") >= F.lit(s.num) * F.greatest("n_a", "n_b")) & (F.col("node_a") != F.col("node_b"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(near & (apart <= most))
@@ -364,24 +380,27 @@ def node_links(docs: DataFrame, sig: DataFrame, nodes: DataFrame, id_col: str, t
     often = written(alive(written(often, "often"), s).withColumn("comp", F.col("node")).withColumn("d", F.lit(0.0)), "alive")
 
     by_node = heads.select(F.col("node").alias("doc"), "node", "n", "bins").dropDuplicates(["doc"])
-    pairs, links, comps, member = written(pairs, "pairs"), None, None, F.struct("n", "node", "at").alias("m")
+    large_rows = None
+    links, comps, waiting, member = None, None, written(pairs, "pairs"), F.struct("n", "node", "at").alias("m")
     for depth in range(s.levels):
         joined = on_regions(often, written(pivots_of(often, depth, s), "pivots"), s)
         little = joined.where(F.col("m") <= s.small).groupBy("region").agg(F.collect_list(member).alias("members"))
-        more = possible(region_pairs(little, s), by_node, s)
-        pairs = written(pairs.unionByName(more if comps is None else unlinked(more, comps)).distinct(), "pairs")
+        waiting = written(waiting.unionByName(possible(region_pairs(little, s), by_node, s)).distinct(), "pairs")
         large = joined.where(F.col("m") > s.small).withColumn("pivot", F.explode("pivots")).drop("pivots")
-        # One pair for each node joins most nodes of a class; of the rest only those between what is still apart are compared later.
-        star = pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("pivot"))
-        apart = measured(docs, large.select("pivot", "node").unionByName(star), id_col, text_col, s)
+        assign = large.select("pivot", "node")
+        if not depth:
+            # One pair for each node joins most nodes of a class; of the rest only those between what is still apart are compared, at the end.
+            assign = assign.unionByName(waiting.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("pivot")))
+        apart = measured(docs, assign, id_col, text_col, s)
         links = written(links_of(apart, s) if links is None else links.unionByName(links_of(apart, s)).distinct(), "links")
         comps = components(links)
-        pairs = written(unlinked(pairs, comps), "pairs")
         often = written(voronoi(large, apart, comps, s), "split")
-        if often.isEmpty():
+        # Regions that are small enough for pairs end the recursion, and regions that pivots do not split, where all are far from one another.
+        before, large_rows = large_rows, often.groupBy("region").count().where(F.col("count") > s.block).agg(F.sum("count")).first()[0] or 0
+        if large_rows == 0 or (before is not None and large_rows > 0.8 * before):
             break
-    pairs = pairs.unionByName(possible(leftover_pairs(often, s), by_node, s)).distinct()
-    apart = measured(docs, pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node")), id_col, text_col, s)
+    waiting = unlinked(waiting.unionByName(possible(leftover_pairs(often, s), by_node, s)).distinct(), comps)
+    apart = measured(docs, waiting.select(F.col("a").alias("pivot"), F.col("b").alias("node")), id_col, text_col, s)
     return written(links.unionByName(links_of(apart, s)).distinct(), "links")
 
 
