@@ -59,8 +59,8 @@ def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, broadcast_rows: i
 
     The ids are written and counted: up to ``broadcast_rows`` they are broadcast, and ``docs`` are not shuffled; beyond that the join is a merge join.
     """
-    name = gone.columns[0]
-    gone = written(gone, "gone")
+    name = fresh(docs, "_gone")
+    gone = written(gone.toDF(name), "gone")
     return docs.join(gone.hint("broadcast" if gone.count() <= broadcast_rows else "merge"), docs[id_col] == gone[name], "left_anti")
 
 
@@ -69,6 +69,13 @@ def fingerprint(text: Column | str) -> Column:
     return F.xxhash64(text if isinstance(text, Column) else F.col(text))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    while name.lower() in [c.lower() for c in df.columns]:
+        name += "_"
+    return name
+
+
 def wide_hash(value: Column) -> list[Column]:
     """Two chained 64-bit hashes as ``h1`` and ``h2``: one key of 128 bits, so that keys of a large corpus don't collide."""
     return [F.xxhash64(value).alias("h1"), F.xxhash64(F.lit(7), value).alias("h2")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fingerprint, salt_of, salted, wide_hash
+from .common import fingerprint, fresh, salt_of, salted, wide_hash
 
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,26 +51,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``n_lines`` or ``n_dropped`` are replaced, other extra columns pass through; an empty table gives an empty table.
     The kept text is cut from whole runs of lines between dropped positions, so its cost is linear in the lines.
     """
+    fp, pos, body = (fresh(docs, name) for name in ("_fp", "_drops", "_lines"))
     drops = repeated_lines(docs, id_col, text_col, min_docs, min_chars, salts)
-    keyed = docs.withColumn("_fp", fingerprint(text_col))
-    same = keyed[id_col].eqNullSafe(drops["_id"]) & (keyed["_fp"] == drops["_fp"])
-    joined = keyed.join(drops.hint("shuffle_hash"), same, "left").drop(drops["_fp"]).drop("_id", "_fp")
-    lines, cut = _lines(F.col(text_col)), F.col("_drops")
-    n = F.size(F.col("_lines"))
+    drops = drops.select(F.col("_id").alias(fresh(docs, "_doc")), F.col("_fp").alias(fp), F.col("_drops").alias(pos))
+    same = docs[id_col].eqNullSafe(drops[drops.columns[0]]) & (fingerprint(docs[text_col]) == drops[fp])
+    joined = docs.join(drops.hint("shuffle_hash"), same, "left").select(*[docs[c] for c in docs.columns], drops[pos])
+    cut, lines = F.col(pos), F.col(body)
+    n = F.size(lines)
     kept = F.flatten(F.transform(
         F.sequence(F.lit(0), F.size(cut)),
         lambda i: F.slice(
-            F.col("_lines"),
+            lines,
             F.when(i == 0, F.lit(1)).otherwise(F.get(cut, i - 1) + 2),
             F.coalesce(F.get(cut, i), n) - F.when(i == 0, F.lit(0)).otherwise(F.get(cut, i - 1) + 1),
         ),
     ))
     return (
-        joined.withColumn("_lines", lines)
+        joined.withColumn(body, _lines(F.col(text_col)))
         .withColumn("n_lines", n.cast("long"))
         .withColumn("n_dropped", F.coalesce(F.size(cut), F.lit(0)).cast("long"))
         .withColumn(text_col, F.when(cut.isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n")))
-        .drop("_lines", "_drops")
+        .drop(body, pos)
     )
 
 

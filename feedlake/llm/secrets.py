@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fingerprint, salt_of, salted, wide_hash
+from .common import fingerprint, salt_of, salted, wide_hash, written
 
 # Kinds in their order, patterns, the group that holds the value and its least length.
 KINDS = (
@@ -61,6 +61,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     or owner counts as none; repeated rows give equal rows; other columns of the input are not used.
     """
     found = candidates(docs, id_col, text_col, repo_col, owner_col).select("*", *wide_hash(F.col("value"))).drop("value", "gap", "width", "i")
+    found = written(found, "candidates")  # two branches read it, and all expressions over all texts stand behind it
     # Distinct (hash, repository, owner) rows first: a value in a third of all documents is one row for each task and owner.
     freq = (
         found.groupBy("h1", "h2", "_repo", "_owner").agg(F.count(F.lit(1)).alias("_n"))
@@ -79,7 +80,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shown = lambda col: F.transform(col, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"]))
     per_doc = per_doc.withColumn("_b", base).withColumn("_e", every).withColumnRenamed("_fp", "_fp2").withColumnRenamed("_id", "_id2")
     rows = docs.select(F.col(id_col).alias("_id"), fingerprint(text_col).alias("_fp"))
-    out = rows.join(per_doc, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_fp") == F.col("_fp2")), "left")
+    # Only documents with candidates have a row; they may be too many to broadcast.
+    out = rows.join(per_doc.hint("merge"), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_fp") == F.col("_fp2")), "left")
     count = lambda col, test: F.coalesce(F.size(F.filter(col, test)), F.lit(0)).cast("long")
     empty = F.array().cast("array<string>")
     return out.select(

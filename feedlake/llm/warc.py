@@ -19,7 +19,7 @@ from .common import salt_of, salted, scratch_path, written
 TABLE_MAGIC, FOOTER_MAGIC, LEVEL = 0x184D2A5E, 0x8F92EAB1, 3
 DATE, PROFILE = "2024-01-01T00:00:00Z", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes long"
-PLACE = "path string, page_id string, record_type string, frame int, frame_at long, frame_bytes long, offset long, length long"
+PLACE = "path string, record_id string, page_id string, record_type string, frame int, frame_at long, frame_bytes long, offset long, length long"
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100, salts: int = 16) -> DataFrame:
@@ -50,11 +50,11 @@ def _line(name: str, value: object) -> str:
     return f"{name}: {text}\r\n"
 
 
-def record_bytes(page_id: str | None, url: str | None, kind: str, refers_to: str | None, digest: str, n_bytes: int, html: str | None) -> bytes:
+def record_bytes(record_id: str, page_id: str | None, url: str | None, kind: str, refers_to: str | None, digest: str, n_bytes: int, html: str | None) -> bytes:
     """One WARC record. A revisit has the HTTP header only, which tells the payload's length."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     block = http + (html or "").encode("utf-8", "replace") if kind == "response" else http
-    head = "WARC/1.1\r\n" + _line("WARC-Type", kind) + _line("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>") + _line("WARC-Date", DATE)
+    head = "WARC/1.1\r\n" + _line("WARC-Type", kind) + _line("WARC-Record-ID", f"<urn:uuid:{record_id}>") + _line("WARC-Date", DATE)
     if url is not None:
         head += _line("WARC-Target-URI", url)
     head += _line("WARC-Payload-Digest", f"sha256:{digest}") + _line("Content-Type", "application/http; msgtype=response")
@@ -86,22 +86,25 @@ def parse_records(data: bytes) -> Iterator[tuple]:
 class Bundle:
     """Frames of one file under way; finish() gives the file's bytes: independent frames, then the seek table."""
 
-    def __init__(self, frame_bytes: int):
-        self.frame_bytes, self.parts, self.held, self.sizes, self.places = frame_bytes, [], [], [], []
+    def __init__(self, name: str, frame_bytes: int):
+        self.name, self.frame_bytes, self.parts, self.held, self.sizes, self.places = name, frame_bytes, [], [], [], []
         self.open_bytes = self.total = 0
         self.zip = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
 
-    def add(self, page_id: str | None, kind: str, record: bytes) -> None:
+    def add(self, page_id: str | None, url: str | None, kind: str, *rest: object) -> None:
+        """A record under an identifier of its own, made of the file's name and the record's number."""
+        record_id = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{self.name}#{len(self.places)}"))
+        record = record_bytes(record_id, page_id, url, kind, *rest)
         if self.held and self.open_bytes + len(record) > self.frame_bytes:
             self.close_frame()
-        self.places.append([page_id, kind, len(self.parts), None, None, self.open_bytes, len(record)])
+        self.places.append([record_id, page_id, kind, len(self.parts), None, None, self.open_bytes, len(record)])
         self.held.append(record)
         self.open_bytes += len(record)
 
     def close_frame(self) -> None:
         frame = self.zip.compress(b"".join(self.held))
         for p in self.places[-len(self.held) :]:
-            p[3:5] = self.total, len(frame)
+            p[4:6] = self.total, len(frame)
         self.sizes.append((len(frame), self.open_bytes))
         self.parts.append(frame)
         self.total += len(frame)
@@ -135,7 +138,7 @@ def _store(uri: str):
 def write_bundles(records: DataFrame, folder: str, frame_bytes: int = 262_144, bundle_bytes: int = 16_777_216) -> DataFrame:
     """Writes the planned records to bundles in ``folder`` (a URI all executors reach) and returns the record index.
 
-    Each task writes its own files, named by task attempt; the index is a written table, so only files of
+    The index maps each record's WARC-Record-ID and page to file, frame and place in the frame. Each task writes its own files, named by task attempt; the index is a written table, so only files of
     attempts that Spark committed are in it and a lost executor leaves at most unlisted files. A task holds one bundle.
     """
 
@@ -143,11 +146,11 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = 262_144, b
         context, names = TaskContext.get(), PLACE.split(", ")
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
-        bundle, number = Bundle(frame_bytes), 0
+        new = lambda number: Bundle(f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{number:04d}.warc.zst", frame_bytes)
+        bundle, number = new(0), 0
 
         def flush(bundle: Bundle) -> pd.DataFrame:
-            data = bundle.finish()
-            name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{number:04d}.warc.zst"
+            data, name = bundle.finish(), bundle.name
             with store.open_output_stream(f"{base}/{name}.tmp") as out:
                 out.write(data)
             store.move(f"{base}/{name}.tmp", f"{base}/{name}")
@@ -155,11 +158,11 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = 262_144, b
             return pd.DataFrame(rows, columns=[x.split()[0] for x in names])
 
         for batch in batches:
-            for page_id, url, kind, refers_to, digest, n_bytes, html in batch.itertuples(index=False):
-                bundle.add(page_id, kind, record_bytes(page_id, url, kind, refers_to, digest, n_bytes, html))
+            for row in batch.itertuples(index=False):
+                bundle.add(*row)
                 if bundle.total + bundle.open_bytes >= bundle_bytes:
                     yield flush(bundle)
-                    bundle, number = Bundle(frame_bytes), number + 1
+                    bundle, number = new(number + 1), number + 1
         if bundle.places:
             yield flush(bundle)
 
@@ -200,7 +203,10 @@ def read_bundles(index: DataFrame, with_payload: bool = False) -> DataFrame:
                     for at, packed, plain in frames:
                         yield _rows(list(parse_records(unzip.decompress(f.read_at(packed, at), max_output_size=plain))), with_payload)
 
-    return _typed(index.select("path").distinct().mapInPandas(run, RECORD + ", payload binary" * with_payload))
+    paths = index.select("path").distinct()
+    # The rows are tiny, so their number would not spread the files: a fixed number of partitions does.
+    paths = paths.repartition(max(1, min(paths.count(), 8192)))
+    return _typed(paths.mapInPandas(run, RECORD + ", payload binary" * with_payload))
 
 
 def fetch_records(index: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
 from feedlake.llm.common import scratch_path
-from feedlake.llm.templates import contaminated, without_contaminated
+from feedlake.llm.templates import UNITS, contaminated, without_contaminated
 from feedlake.llm.url_rules import PATTERNS, SITES, Rule, judge_urls, rule_index
 from feedlake.llm.warc import fetch_records, plan_records, read_bundles, write_bundles
 
@@ -66,6 +67,8 @@ def test_warc(spark):
     assert got == sorted(want, key=repr)
     some = index.where("page_id IN ('7', '4', '12')")
     assert {(r.page_id, bytes(r.payload).decode()) for r in fetch_records(some).collect()} == {(7, "x" * 400_000), (4, "short"), (12, "\x00\r\n\r\n" * 30)}
+    ids = [r.record_id for r in index.collect()]
+    assert len(set(ids)) == len(ids) == len(rows)
     assert read_bundles(write_bundles(plan_records(pages.where("false")), scratch_path(spark, "warc"))).count() == 0
 
 
@@ -74,13 +77,17 @@ ITEM = "A train leaves Paris with 120 people and 35 kg of mail, then Maria count
 
 def test_templates(spark):
     changed = ITEM.replace("Paris", "Lyon").replace("120", "77").replace("35 kg", "12 lb").replace("Maria", "Elena").replace("48", "9")
+    longer = ITEM.replace("Paris", "New York").replace("120", "77").replace("Maria", "Maria Elena").replace("48", "5")
     mixed = "before it all " + ITEM.replace("120", "77") + " and, again, " + ITEM.replace("120", "78")
-    texts = ["words before " + ITEM + " and words after", changed.upper() if False else changed, "a clean text about a train and some people near a wall " * 3, ITEM[: len(ITEM) // 4], ITEM.lower(), mixed, "12 34 56 78 90 " * 30]
+    two = "first " + changed + " and then " + longer
+    askew = ITEM.replace("leaves Paris with 120", "leaves Lyon with 77").replace("48 boxes", "48 boxes of 120")
+    texts = ["words before " + ITEM + " and words after", changed, "a clean text about a train and some people near a wall " * 3, ITEM[: len(ITEM) // 4], ITEM.lower(), mixed, "12 34 56 78 90 " * 30,
+             longer, two, "Who wrote: Hamlet?", "someone who wrote hamlet again and again", "5 6 7 8 9 10 11 12 13", "5 6 7 8 9 10 99 98 97", askew]
     docs = odd_docs(spark, texts)
-    items = spark.createDataFrame([(1, ITEM), (2, "too short"), (3, None), (4, "5 6 7 8 9 10 11 12 13"), (None, "another question with enough words to be one at all")], "item_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (2, "who wrote Hamlet"), (3, None), (4, "5 6 7 8 9 10 11 12 13"), (None, "another question with enough words to be one at all"), (5, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in contaminated(docs, items).collect()}
-    assert set(got) == {(100, 1), (101, 1), (105, 1)} | ({(104, 1)} if (104, 1) in got else set())
-    assert not got[100, 1].reparameterised and got[101, 1].reparameterised
+    assert set(got) == {(100, 1), (101, 1), (104, 1), (105, 1), (107, 1), (108, 1), (109, 2), (111, 4), (113, 1)}
+    assert {k for k, r in got.items() if r.reparameterised} == {(101, 1), (107, 1), (108, 1)}
     kept = without_contaminated(docs, items)
     assert kept.count() == docs.count() - len({d for d, _ in got}) and kept.columns == docs.columns
     assert contaminated(no_docs(spark), items).count() == 0 and contaminated(docs, items.where("false")).count() == 0
@@ -88,6 +95,88 @@ def test_templates(spark):
     assert {(r.doc_id, r.item_id) for r in merged.collect()} == set(got)
 
 
+# A brute-force version: the same windows and occurrences, told by plain loops.
+SPLIT = re.compile("[\x00\x01\x05\x07-/:-@\\[-`{-\x7f\u00a0-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2000-\u206f\u3000-\u303f]+")
+
+
+def brute_windows(text):
+    words, tokens = [w for w in (text or "").split(" ") if w], []
+    for i, w in enumerate(words):
+        before = words[i - 1] if i else ""
+        name = w[:1].isupper() and w[1:2].islower()
+        kind = None
+        if name and i and (before[-1].islower() or before[-1] in ",;"):
+            kind = "name"
+            if tokens and tokens[-1][1] == "name" and before[-1].islower() and before[:1].isupper():
+                tokens[-1] = (tokens[-1][0] + " " + SPLIT.sub("", w.lower()), "name")
+                continue
+        if w.lower().strip(",.;?") in UNITS and before[-1:].isdigit():
+            kind = "unit"
+        w = re.sub("(?<=[0-9])[.,](?=[0-9])", "\x04", w)
+        tokens += [(x, kind or ("number" if x[0].isdigit() else None)) for x in SPLIT.split(w.lower()) if x]
+    out = []
+    for i in range(max(1, len(tokens) - 4) if tokens else 0):
+        part = tokens[i : i + 5]
+        values = [(x, k) for x, k in part if k]
+        if values and len(values) <= 2:
+            out.append((i, tuple(k and f"<{k}>" or x for x, k in part), tuple(x for x, _ in values)))
+        else:
+            out.append((i, ("verbatim", *part), None))
+    return out
+
+
+def brute_contaminated(docs, items):
+    found = set()
+    for d, text in docs:
+        windows = defaultdict(list)
+        for i, h, v in brute_windows(text):
+            windows[h].append((i, v))
+        for item, whole in items:
+            for form in {whole, whole.lower()}:
+                exact, at, counted = set(), defaultdict(lambda: defaultdict(set)), set()
+                mine = brute_windows(form)
+                for i, h, own in mine:
+                    for j, v in windows.get(h, ()):
+                        if v == own:
+                            exact.add(h)
+                        for a, b in zip(own or (), v or (), strict=True):
+                            at[j - i][a].add(b)
+                for i, h, own in mine:
+                    for j, v in windows.get(h, ()):
+                        if own and all(len(b) == 1 for b in at[j - i].values()):
+                            counted.add(h)
+                if len(exact | counted) >= 0.5 * len({h for _, h, _ in mine}):
+                    found.add((d, item))
+    return found
+
+
+def test_templates_equal_a_brute_force_version(spark):
+    rng = random.Random(11)
+    names = [a + b for a in ("Par", "Mar", "Osl", "Rom", "Len", "Tor", "Bel", "Kan") for b in ("is", "ia", "o", "en", "ark York", "a Sund")]
+    plain = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    plain = [w.replace("w", "q") for w in plain]
+
+    def value(kind):
+        return rng.choice(names) if kind == "N" else str(rng.randint(2, 999)) + (rng.choice([" kg", " miles", ""]) if kind == "U" else "")
+
+    templates = [[rng.choice(["N", "D", "U"]) if rng.random() < 0.17 else rng.choice(plain) for _ in range(rng.randint(6, 25))] for _ in range(25)]
+    fill = lambda t, known: " ".join(known.setdefault((i, w), value(w)) if len(w) == 1 else w for i, w in enumerate(t))
+    items = [(i, "so " + fill(t, {})) for i, t in enumerate(templates)]
+    texts = []
+    for i, t in enumerate(templates):
+        noise = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+        once, again = fill(t, {}), fill(t, {})
+        texts += [items[i][1], f"{noise(5)} {once} {noise(3)}", f"{noise(2)} {once} {noise(4)} {again}", f"{once} and {items[i][1]}", noise(40)]
+        words = once.split(" ")
+        texts.append(" ".join(words[: len(words) // 2] + [noise(1)] + words[len(words) // 2 :]))
+        texts.append(" ".join(w if rng.random() < 0.8 else value("D") for w in words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_contaminated(list(enumerate(texts)), items)
+    assert got == want
+    assert sum((7 * i + k, i) in got for i in range(25) for k in (0, 1, 2, 3)) >= 95
+
+
 def test_decontamination_finds_planted_items(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
