@@ -215,13 +215,17 @@ def split_regions(postings: DataFrame, s: Setting) -> DataFrame:
     return postings.repartition("s").sortWithinPartitions("s").mapInPandas(run, "pair boolean, x long, y long, z long")
 
 
+def _bins_allow(s: Setting) -> Column:
+    """Whether the bins' differences, which bound the symmetric difference from below, leave room for a link."""
+    apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda t, x: t + x)
+    return apart <= F.col("n_a") + F.col("n_b") - 2 * s.least_common(F.col("n_a"), F.col("n_b"))
+
+
 def possible(pairs: DataFrame, heads: DataFrame, s: Setting) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes from pairs of documents, as far as sizes and bin counts allow: the bins' differences bound the symmetric difference from below."""
+    """Pairs (a, b), a < b, of nodes from pairs of documents, as far as sizes and bin counts allow."""
     side = lambda x: heads.select(F.col("doc").alias(x), F.col("node").alias(f"node_{x}"), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}"))
-    apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda t, x: t + x)
-    most = F.col("n_a") + F.col("n_b") - 2 * s.least_common(F.col("n_a"), F.col("n_b"))
     near = (F.lit(s.den) * F.least("n_a", "n_b") >= F.lit(s.num) * F.greatest("n_a", "n_b")) & (F.col("node_a") != F.col("node_b"))
-    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(near & (apart <= most))
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(near & _bins_allow(s))
     return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
@@ -355,16 +359,16 @@ def voronoi(often: DataFrame, apart: DataFrame, comps: DataFrame, s: Setting) ->
     return alive(written(on_regions(placed, mixed, s), "split"), s)
 
 
-def leftover_pairs(often: DataFrame, s: Setting) -> DataFrame:
-    """Pairs of different components that sizes, places and the triangle inequality allow, in regions that all levels left large. One side is dealt
+def leftover_pairs(often: DataFrame, by_node: DataFrame, s: Setting) -> DataFrame:
+    """Pairs of different components that sizes, places, bin counts and the triangle inequality allow, in regions that pivots did not split. One side is dealt
     to as many cells as the region has ``block`` members, the other goes to all of them."""
     share = F.ceil(F.col("m") / s.block).cast("int")
-    rows = on_regions(often, often.groupBy("region").agg(F.count(F.lit(1)).alias("m")), s).withColumn("share", share)
+    rows = on_regions(often, often.groupBy("region").agg(F.count(F.lit(1)).alias("m")), s).withColumn("share", share).join(by_node.select("node", "bins").hint("merge"), "node")
     cell = {"a": F.pmod(F.xxhash64("node"), F.col("share")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("share") - 1))}
-    sides = [rows.select("region", cell[x].alias("cell"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "comp", "d")]) for x in "ab"]
+    sides = [rows.select("region", cell[x].alias("cell"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "comp", "d", "bins")]) for x in "ab"]
     place = lambda x: {c: F.col(f"{c}_{x}") for c in ("n", "at")}
     on = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= s.reach + 1e-9) & _near_enough(s, place("a"), place("b"))
-    return sides[0].join(sides[1].hint("merge"), ["region", "cell"]).where(on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return sides[0].join(sides[1].hint("merge"), ["region", "cell"]).where(on & _bins_allow(s)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def node_links(docs: DataFrame, sig: DataFrame, nodes: DataFrame, id_col: str, text_col: str, s: Setting) -> DataFrame:
@@ -399,7 +403,7 @@ def node_links(docs: DataFrame, sig: DataFrame, nodes: DataFrame, id_col: str, t
         before, large_rows = large_rows, often.groupBy("region").count().where(F.col("count") > s.block).agg(F.sum("count")).first()[0] or 0
         if large_rows == 0 or (before is not None and large_rows > 0.8 * before):
             break
-    waiting = unlinked(waiting.unionByName(possible(leftover_pairs(often, s), by_node, s)).distinct(), comps)
+    waiting = unlinked(waiting.unionByName(leftover_pairs(often, by_node, s)).distinct(), comps)
     apart = measured(docs, waiting.select(F.col("a").alias("pivot"), F.col("b").alias("node")), id_col, text_col, s)
     return written(links.unionByName(links_of(apart, s)).distinct(), "links")
 
