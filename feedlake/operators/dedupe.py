@@ -91,6 +91,15 @@ def letters_only(text: Column) -> Column:
     return F.regexp_replace(F.lower(_nfkc(text)), r"[^\p{L}\p{N}]", "")
 
 
+def char_shingles(plain: Column, width: int = 32) -> Column:
+    """Hashes of the distinct ``width``-unit pieces of a text, in UTF-16 units; cut from the encoded bytes, as a cut of a string would count
+    characters from its start each time."""
+    units = F.encode(plain, "UTF-16BE")
+    n = (F.length(units) / 2).cast("int")
+    starts = F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * width)))))
+
+
 def near_duplicates(rows: DataFrame, least_chars: int = 500, width: int = 32, length_ratio: float = 0.7, share: float = 0.9) -> DataFrame:
     """Pairs (a, b), a < b, of full texts whose distinct ``width``-character shingles overlap by ``share`` of the smaller set.
 
@@ -106,17 +115,17 @@ def near_duplicates(rows: DataFrame, least_chars: int = 500, width: int = 32, le
     sets = one.select("id", units.alias("units")).withColumn("n", n.cast("int")).select("id", "n", F.array_distinct(cuts).alias("s"))
     each = sets.select("id", "n", F.size("s").alias("k"), F.explode("s").alias("t"))
     common = each.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    shared = each.join(common, "t").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "t")))
+    shared = each.join(common.hint("merge"), "t").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "t")))
     # Shingles that no other text has come first in the order, so they use up the prefix.
     own = shared.groupBy("id").agg(F.count(F.lit(1)).alias("m"))
-    prefix = shared.join(own, "id").where(F.col("r") + (F.col("k") - F.col("m")) <= F.col("k") - F.ceil(share * F.col("k")) + 1)
+    prefix = shared.join(own.hint("merge"), "id").where(F.col("r") + (F.col("k") - F.col("m")) <= F.col("k") - F.ceil(share * F.col("k")) + 1)
     a = prefix.select(F.col("id").alias("ida"), F.col("n").alias("na"), F.col("k").alias("ka"), "t")
     b = shared.select(F.col("id").alias("idb"), F.col("n").alias("nb"), F.col("k").alias("kb"), "t")
     smaller = (F.col("ida") != F.col("idb")) & ((F.col("ka") < F.col("kb")) | ((F.col("ka") == F.col("kb"))))
     close = F.least("na", "nb") >= length_ratio * F.greatest("na", "nb")
-    pairs = a.join(b, "t").where(smaller & close).select("ida", "idb").distinct()
+    pairs = a.join(b.hint("merge"), "t").where(smaller & close).select("ida", "idb").distinct()
     sa, sb = sets.select(F.col("id").alias("ida"), F.col("s").alias("sa")), sets.select(F.col("id").alias("idb"), F.col("s").alias("sb"))
-    found = pairs.join(sa, "ida").join(sb, "idb").where(F.size(F.array_intersect("sa", "sb")) >= share * F.least(F.size("sa"), F.size("sb")))
+    found = pairs.join(sa.hint("merge"), "ida").join(sb.hint("merge"), "idb").where(F.size(F.array_intersect("sa", "sb")) >= share * F.least(F.size("sa"), F.size("sb")))
     out = found.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
     copies = one.select(F.col("id").alias("a"), F.explode("ids").alias("b")).where("a < b")
     return out.unionByName(copies).distinct()

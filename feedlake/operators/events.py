@@ -31,9 +31,9 @@ class FeedFilters:
 def hydrate(events: DataFrame, articles: DataFrame, *fields: str) -> DataFrame:
     """Adds ``articles``: the event's articles in evidence order; ids without an article drop out."""
     links = events.select("event_id", F.posexplode("evidence").alias("pos", "article_id"))
-    rows = links.join(articles.select("article_id", *fields), "article_id")
+    rows = links.join(articles.select("article_id", *fields).hint("merge"), "article_id")
     lists = rows.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("pos", "article_id", *fields))).alias("articles"))
-    return events.join(lists, "event_id", "left").withColumn("articles", F.coalesce("articles", F.array().cast(lists.schema["articles"].dataType)))
+    return events.join(lists.hint("merge"), "event_id", "left").withColumn("articles", F.coalesce("articles", F.array().cast(lists.schema["articles"].dataType)))
 
 
 def social_heat(articles: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake.functions.text import ALARM, ws_norm
+from feedlake.operators.dedupe import char_shingles, letters_only
 
 
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -70,21 +71,39 @@ def quote_anchors(rows: DataFrame, longest: int = 220, least: int = 60, tail: in
 
 def qualified(evidence: DataFrame, articles: DataFrame) -> DataFrame:
     """Evidence rows that can support a claim, with their article's keys: quoted, no repost, native or full, no discussion or repository, known publisher."""
-    rows = quotes_held(evidence, articles).where(F.col("problem").isNull()).join(articles.select("article_id", "publisher_id", "is_repost", "content_kind", "content_status", "content_hash", "group_key", "url"), "article_id")
+    rows = quotes_held(evidence, articles).where(F.col("problem").isNull()).join(articles.select("article_id", "publisher_id", "is_repost", "content_kind", "content_status", "content_hash", "group_key", "url", "text").hint("merge"), "article_id")
     return rows.where((F.col("role") != "repost") & ~F.col("is_repost") & ~F.col("content_kind").isin("repository", "discussion") & F.col("content_status").isin("native", "full") & F.col("publisher_id").isNotNull())
 
 
+def near_copies(rows: DataFrame, least_chars: int = 500, length_ratio: float = 0.7, share: float = 0.9) -> DataFrame:
+    """(event_id, pos, near): earlier places of the event's evidence whose full text is a near copy: letters and digits of at least ``least_chars``,
+    lengths within ``length_ratio``, and ``share`` of the smaller set of 32-unit pieces in both."""
+    full = rows.where(F.col("content_status") == "full").select("event_id", F.col("pos").cast("int").alias("pos"), letters_only(F.col("text")).alias("plain"))
+    sets = full.where(F.length("plain") >= least_chars).select("event_id", "pos", F.length("plain").alias("n"), char_shingles(F.col("plain")).alias("s"))
+    a, b = (sets.select("event_id", *[F.col(c).alias(f"{c}_{x}") for c in ("pos", "n", "s")]) for x in "ab")
+    close = (F.col("pos_a") < F.col("pos_b")) & (F.least("n_a", "n_b") >= length_ratio * F.greatest("n_a", "n_b"))
+    alike = F.size(F.array_intersect("s_a", "s_b")) >= share * F.least(F.size("s_a"), F.size("s_b"))
+    return a.join(b.hint("merge"), "event_id").where(close & alike).groupBy("event_id", F.col("pos_b").alias("pos")).agg(F.collect_set("pos_a").alias("near"))
+
+
 def evidence_status(events: DataFrame, good: DataFrame) -> DataFrame:
     """Adds ``status``: unverified and disputed stay; corroborated needs two independence groups among independent rows whose URL and
-    content were not seen earlier in the list; else supported if a first party is quoted; else unverified.
+    content were not seen earlier in the list and whose text is no near copy of one accepted before; else supported if a first party is quoted; else unverified.
 
-    First-seen flags are windows over the few evidence rows of one event, so groups are bounded by an event's evidence.
+    First-seen flags are windows over the few evidence rows of one event, and near copies are sought within an event, so groups are bounded by an event's evidence.
     """
     order = Window.partitionBy("event_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     seen = lambda c: F.coalesce(F.array_contains(F.collect_list(c).over(order), F.col(c)), F.lit(False))
     rows = good.withColumn("fresh", ~seen("url") & ~(F.col("content_hash").isNotNull() & seen("content_hash")))
-    sums = rows.groupBy("event_id").agg(F.countDistinct(F.when((F.col("role") == "independent") & F.col("fresh"), F.col("group_key"))).alias("groups"), F.bool_or(F.col("role") == "first_party").alias("first"))
-    out = events.join(sums, "event_id", "left")
+    offered = rows.where((F.col("role") == "independent") & F.col("fresh"))
+    listed = offered.select("event_id", "pos", "group_key").join(near_copies(offered).hint("merge"), ["event_id", "pos"], "left")
+    listed = listed.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("pos", "group_key", F.coalesce("near", F.array().cast("array<int>")).alias("near")))).alias("_rows"))
+    none = F.struct(F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("keys"))
+    more = lambda t, x: F.struct(F.array_append(t["at"], x["pos"].cast("int")).alias("at"), F.array_append(t["keys"], x["group_key"]).alias("keys"))
+    accepted = F.aggregate("_rows", none, lambda t, x: F.when(F.arrays_overlap(x["near"], t["at"]), t).otherwise(more(t, x)))
+    groups = listed.select("event_id", F.size(F.array_distinct(F.array_compact(accepted["keys"]))).alias("groups"))
+    sums = rows.groupBy("event_id").agg(F.bool_or(F.col("role") == "first_party").alias("first"))
+    out = events.join(sums.hint("merge"), "event_id", "left").join(groups.hint("merge"), "event_id", "left")
     status = (
         F.when(F.col("credibility").isin("unverified", "disputed"), F.col("credibility")).when((F.col("credibility") == "corroborated") & (F.coalesce("groups", F.lit(0)) >= 2), "corroborated")
         .when(F.coalesce("first", F.lit(False)), "supported").otherwise("unverified")
@@ -113,15 +132,22 @@ def urgency(events: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def claim_downgrade(claims: DataFrame) -> DataFrame:
-    """(event_id, credibility): disputed if any claim is contradicted with two citations, else unverified if any is insufficient, else as asked."""
-    sums = claims.groupBy("event_id").agg(F.first("requested").alias("requested"), F.bool_or((F.col("verdict") == "contradicted") & (F.size("article_ids") >= 2)).alias("against"), F.bool_or(F.col("verdict") == "insufficient").alias("thin"))
-    return sums.select("event_id", F.when(F.col("against"), "disputed").when(F.col("thin"), "unverified").otherwise(F.col("requested")).alias("credibility"))
+    """(event_id, credibility): disputed if any claim is contradicted or disputed was asked, else unverified if any claim is insufficient, else as asked.
+
+    Disputed needs two cited articles of the event; with fewer the assessment is rejected and its credibility null.
+    """
+    sums = claims.groupBy("event_id").agg(
+        F.first("requested").alias("requested"), F.bool_or(F.col("verdict") == "contradicted").alias("against"), F.bool_or(F.col("verdict") == "insufficient").alias("thin"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("article_ids")))).alias("cited"),
+    )
+    against = F.col("against") | (F.col("requested") == "disputed")
+    return sums.select("event_id", F.when(against & (F.col("cited") < 2), F.lit(None)).when(against, "disputed").when(F.col("thin"), "unverified").otherwise(F.col("requested")).alias("credibility"))
 
 
 def unsupported_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """(event_id, claim, article_id) that a claim cites and the event's evidence lacks."""
     cited = claims.select("event_id", "claim", F.explode("article_ids").alias("article_id"))
-    return cited.join(evidence.select("event_id", "article_id"), ["event_id", "article_id"], "left_anti")
+    return cited.join(evidence.select("event_id", "article_id").hint("merge"), ["event_id", "article_id"], "left_anti")
 
 
 def first_party_relation(evidence: DataFrame, subjects: DataFrame, aliases: DataFrame) -> DataFrame:

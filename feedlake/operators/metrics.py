@@ -99,7 +99,7 @@ def merge_lanes(reports: DataFrame) -> DataFrame:
     sums = reports.groupBy("run", "source").agg(F.sum("n").alias("n"), ladder.alias("status"))
     reasons = reports.select("run", "source", F.explode("reasons").alias("reason", "k")).groupBy("run", "source", "reason").agg(F.sum("k").alias("k"))
     maps = reasons.groupBy("run", "source").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "k")))).alias("reasons"))
-    return sums.join(maps, ["run", "source"], "left")
+    return sums.join(maps.hint("merge"), ["run", "source"], "left")
 
 
 def metric_growth(samples: DataFrame) -> DataFrame:

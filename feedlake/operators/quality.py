@@ -46,7 +46,7 @@ def monitored_handles(monitors: DataFrame, accounts: DataFrame) -> DataFrame:
     curated = monitors.where("use_curated").crossJoin(F.broadcast(accounts.where("active"))).select("monitor_id", F.lower("handle").alias("handle"))
     followed = monitors.select("monitor_id", F.explode("followed").alias("handle")).select("monitor_id", F.lower("handle").alias("handle"))
     blocked = monitors.select("monitor_id", F.explode("blocked").alias("handle")).select("monitor_id", F.lower("handle").alias("handle"))
-    return curated.unionByName(followed).distinct().join(blocked, ["monitor_id", "handle"], "left_anti")
+    return curated.unionByName(followed).distinct().join(blocked.hint("merge"), ["monitor_id", "handle"], "left_anti")
 
 
 def with_curated(articles: DataFrame, handles: DataFrame) -> DataFrame:

@@ -214,9 +214,12 @@ def passages(spark, sf):
     return out.select("article_id", F.array_join(F.transform("passages", lambda p: p["start"].cast("string")), ",").alias("starts"), "omitted")
 
 
-@query("r10_observation_batch", f"""SELECT article_id, observe_until FROM observed WHERE observe_until <= {NOW} AND coalesce(checked_at, 0) <= {NOW} - 1800000 ORDER BY observe_until, article_id LIMIT 20""")
+LATER = NOW + 30 * 86_400_000  # by then the observations under way have run out
+
+
+@query("r10_observation_batch", f"""SELECT article_id, observe_until FROM observed WHERE observe_until <= {LATER} AND coalesce(checked_at, 0) <= {LATER} - 1800000 ORDER BY observe_until, article_id LIMIT 20""")
 def observation_batch(spark, sf):
-    due = judged(spark, sf).where((F.col("observe_until") <= NOW) & (F.coalesce("checked_at", F.lit(0)) <= NOW - 1800000))
+    due = judged(spark, sf).where((F.col("observe_until") <= LATER) & (F.coalesce("checked_at", F.lit(0)) <= LATER - 1800000))
     return due.select("article_id", "observe_until").orderBy("observe_until", "article_id").limit(20)
 
 

@@ -264,7 +264,14 @@ def quotes(spark, sf):
 
 @query("v09_evidence_status", FULL + """, good AS (SELECT * FROM he WHERE contains(text_norm, trim(regexp_replace(excerpt, '[ \\t\\r\\n]+', ' ', 'g'))) AND role <> 'repost' AND NOT is_repost AND content_kind NOT IN ('repository', 'discussion') AND content_status IN ('native', 'full') AND publisher_id IS NOT NULL),
 fresh AS (SELECT g.*, NOT EXISTS (SELECT 1 FROM good p WHERE p.event_id = g.event_id AND p.pos < g.pos AND (p.url = g.url OR p.content_hash = g.content_hash)) AS fresh FROM good g),
-sums AS (SELECT event_id, count(DISTINCT CASE WHEN role = 'independent' AND fresh THEN group_key END) AS n, bool_or(role = 'first_party') AS first FROM fresh GROUP BY 1)
+cand AS (SELECT event_id, pos, group_key, row_number() OVER (PARTITION BY event_id ORDER BY pos) AS k, CASE WHEN content_status = 'full' THEN regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') END AS plain FROM fresh WHERE role = 'independent' AND fresh),
+sets AS (SELECT *, list_distinct(list_transform(range(1, length(plain) - 30), lambda i: substr(plain, i, 32))) AS s FROM cand WHERE length(plain) >= 500),
+near AS (SELECT b.event_id, b.pos, list(a.pos) AS near FROM sets a JOIN sets b ON a.event_id = b.event_id AND a.pos < b.pos AND least(length(a.plain), length(b.plain)) >= 0.7 * greatest(length(a.plain), length(b.plain))
+  AND len(list_intersect(a.s, b.s)) >= 0.9 * least(len(a.s), len(b.s)) GROUP BY 1, 2),
+ok AS (SELECT * FROM (WITH RECURSIVE acc(event_id, k, kept) AS (SELECT DISTINCT event_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM cand UNION ALL
+  SELECT c.event_id, c.k, CASE WHEN list_has_any(coalesce(n.near, CAST([] AS BIGINT[])), acc.kept) THEN acc.kept ELSE list_append(acc.kept, c.pos) END FROM acc JOIN cand c ON c.event_id = acc.event_id AND c.k = acc.k + 1 LEFT JOIN near n ON n.event_id = c.event_id AND n.pos = c.pos)
+  SELECT event_id, arg_max(kept, k) AS kept FROM acc GROUP BY 1)),
+sums AS (SELECT f.event_id, count(DISTINCT CASE WHEN role = 'independent' AND fresh AND list_contains(ok.kept, f.pos) THEN group_key END) AS n, bool_or(role = 'first_party') AS first FROM fresh f LEFT JOIN ok USING (event_id) GROUP BY 1)
 SELECT event_id, CASE WHEN credibility IN ('unverified', 'disputed') THEN credibility WHEN credibility = 'corroborated' AND coalesce(n, 0) >= 2 THEN 'corroborated' WHEN coalesce(first, FALSE) THEN 'supported' ELSE 'unverified' END AS status FROM events_v LEFT JOIN sums USING (event_id)""")
 def status(spark, sf):
     return ev.evidence_status(events(spark, sf), ev.qualified(evidence(spark, sf), full_articles(spark, sf))).select("event_id", "status")
@@ -300,7 +307,7 @@ def anchors(spark, sf):
 def anchor_resolution(spark, sf):
     """Each event's cited anchors (the second of each article) resolved to their text; the article must be the event's own."""
     spans = ev.quote_anchors(articles(spark, sf).select("article_id", "text")).where("quote = 2")
-    return evidence(spark, sf).select("event_id", "article_id", "role").join(spans, "article_id").select("event_id", "article_id", "role", "start", "end", F.length("text").alias("n"))
+    return evidence(spark, sf).select("event_id", "article_id", "role").join(spans.hint("merge"), "article_id").select("event_id", "article_id", "role", "start", "end", F.length("text").alias("n"))
 
 
 def claims(spark, sf):
@@ -313,7 +320,7 @@ def claims(spark, sf):
 CLAIMS = FULL + """, claims AS (SELECT event_id, doc_id % 2 AS claim, any_value(e.credibility) AS requested, list(article_id) AS ids, ['supported', 'contradicted', 'insufficient'][max(doc_id) % 3 + 1] AS verdict FROM he JOIN events_v e USING (event_id) GROUP BY 1, 2)"""
 
 
-@query("v07_claim_downgrade", CLAIMS + " SELECT event_id, CASE WHEN bool_or(verdict = 'contradicted' AND len(ids) >= 2) THEN 'disputed' WHEN bool_or(verdict = 'insufficient') THEN 'unverified' ELSE any_value(requested) END AS credibility FROM claims GROUP BY 1")
+@query("v07_claim_downgrade", CLAIMS + " SELECT event_id, CASE WHEN bool_or(verdict = 'contradicted') OR any_value(requested) = 'disputed' THEN CASE WHEN len(list_distinct(flatten(list(ids)))) >= 2 THEN 'disputed' END WHEN bool_or(verdict = 'insufficient') THEN 'unverified' ELSE any_value(requested) END AS credibility FROM claims GROUP BY 1")
 def downgrade(spark, sf):
     return ev.claim_downgrade(claims(spark, sf))
 

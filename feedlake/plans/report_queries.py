@@ -142,10 +142,10 @@ def ordered_union(spark, sf):
     return articles(spark, sf).select("article_id", F.array_join(F.array_union(F.array("source"), F.array(F.lit("google"), F.lit("hn"))), ",").alias("found"))
 
 
-@query("u03_difference", "SELECT DISTINCT author FROM articles WHERE source = 'x' EXCEPT SELECT author FROM articles WHERE is_repost")
+@query("u03_difference", "SELECT DISTINCT url FROM articles WHERE source = 'x' EXCEPT SELECT url FROM articles WHERE is_repost")
 def difference(spark, sf):
     a = articles(spark, sf)
-    return a.where("source = 'x'").select("author").distinct().join(a.where("is_repost").select("author").distinct(), "author", "left_anti")
+    return a.where("source = 'x'").select("url").distinct().join(a.where("is_repost").select("url").distinct(), "url", "left_anti")
 
 
 @query("w02_growth", """, s AS (SELECT user_id AS article_id, event_id AS sample_id, epoch_us(ts) // 1000 AS sampled_at, CAST(floor(coalesce(value, 0)) AS BIGINT) AS likes FROM events WHERE event_type IN ('view', 'click')),

@@ -164,3 +164,19 @@ def test_notification_rules(spark):
     rows = spark.createDataFrame([("e1", "m1", 80, "supported", None, 1, [(START + 90000000,)]), ("e2", "m1", 80, "disputed", None, 1, [(START + 90000000,)]), ("e3", "m1", 80, "supported", None, 1, [(START,)]), ("e4", "m1", 80, "supported", NOW - 10000, 1, [(NOW,)])],
                                  "event_id string, monitor_id string, relevance long, credibility string, notified_at long, revision long, articles array<struct<published_at:long>>")
     assert {r.event_id: r.notify for r in events.can_notify(rows, monitors(spark), NOW).collect()} == {"e1": True, "e2": False, "e3": False, "e4": False}
+
+
+def test_near_copies_are_not_independent(spark):
+    from feedlake.operators.evidence import claim_downgrade, evidence_status
+
+    body = " ".join(f"sentence {i} of the report" for i in range(60))
+    other = " ".join(f"another account {i} by a second author" for i in range(60))
+    rows = [("e1", 0, "independent", "g1", "u1", body), ("e1", 1, "independent", "g2", "u2", body + " edited"), ("e2", 0, "independent", "g1", "u1", body), ("e2", 1, "independent", "g2", "u2", other),
+            ("e3", 0, "independent", "g1", "u1", body), ("e3", 1, "independent", "g1", "u2", other), ("e3", 2, "independent", "g2", "u3", body + " once"), ("e4", 0, "first_party", "g1", "u1", body), ("e4", 1, "independent", "g2", "u2", body + " more")]
+    good = spark.createDataFrame([(e, p, r, g, u, None, "full", t) for e, p, r, g, u, t in rows], "event_id string, pos int, role string, group_key string, url string, content_hash string, content_status string, text string")
+    events = spark.createDataFrame([(f"e{i}", "corroborated") for i in range(1, 6)], "event_id string, credibility string")
+    assert {r.event_id: r.status for r in evidence_status(events, good).collect()} == {"e1": "unverified", "e2": "corroborated", "e3": "unverified", "e4": "supported", "e5": "unverified"}
+
+    claims = [("a", 0, "disputed", ["x", "y"], "insufficient"), ("b", 0, "corroborated", ["x"], "contradicted"), ("b", 1, "corroborated", ["y"], "supported"), ("c", 0, "disputed", ["x"], "supported"), ("d", 0, "supported", ["x"], "insufficient"), ("e", 0, "supported", ["x"], "supported")]
+    got = claim_downgrade(spark.createDataFrame(claims, "event_id string, claim int, requested string, article_ids array<string>, verdict string"))
+    assert {r.event_id: r.credibility for r in got.collect()} == {"a": "disputed", "b": "disputed", "c": None, "d": "unverified", "e": "supported"}
