@@ -47,6 +47,7 @@ class Setting:
     levels: int = 4
     salts: int = 8
     block: int = 512
+    joined: int = 4096
     broadcast_rows: int = 500_000
 
     @property
@@ -400,7 +401,7 @@ def node_links(docs: DataFrame, sig: DataFrame, nodes: DataFrame, id_col: str, t
         comps = components(links)
         often = written(voronoi(large, apart, comps, s), "split")
         # Regions that are small enough for pairs end the recursion, and regions that pivots do not split, where all are far from one another.
-        before, large_rows = large_rows, often.groupBy("region").count().where(F.col("count") > s.block).agg(F.sum("count")).first()[0] or 0
+        before, large_rows = large_rows, often.groupBy("region").count().where(F.col("count") > s.joined).agg(F.sum("count")).first()[0] or 0
         if large_rows == 0 or (before is not None and large_rows > 0.8 * before):
             break
     waiting = unlinked(waiting.unionByName(leftover_pairs(often, by_node, s)).distinct(), comps)
