@@ -90,13 +90,18 @@ def evidence_status(events: DataFrame, good: DataFrame) -> DataFrame:
     """Adds ``status``: unverified and disputed stay; corroborated needs two independence groups among independent rows whose URL and
     content were not seen earlier in the list and whose text is no near copy of one accepted before; else supported if a first party is quoted; else unverified.
 
-    First-seen flags are windows over the few evidence rows of one event, and near copies are sought within an event, so groups are bounded by an event's evidence.
+    First-seen flags are windows over the few evidence rows of one event, and near copies are sought within an event, so groups are bounded by an event's evidence. Without the
+    columns text and content_status in ``good`` there is nothing to find near copies in.
     """
     order = Window.partitionBy("event_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     seen = lambda c: F.coalesce(F.array_contains(F.collect_list(c).over(order), F.col(c)), F.lit(False))
     rows = good.withColumn("fresh", ~seen("url") & ~(F.col("content_hash").isNotNull() & seen("content_hash")))
     offered = rows.where((F.col("role") == "independent") & F.col("fresh"))
-    listed = offered.select("event_id", "pos", "group_key").join(near_copies(offered).hint("merge"), ["event_id", "pos"], "left")
+    listed = offered.select("event_id", "pos", "group_key")
+    if {"text", "content_status"} <= set(good.columns):
+        listed = listed.join(near_copies(offered).hint("merge"), ["event_id", "pos"], "left")
+    else:
+        listed = listed.withColumn("near", F.lit(None).cast("array<int>"))
     listed = listed.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("pos", "group_key", F.coalesce("near", F.array().cast("array<int>")).alias("near")))).alias("_rows"))
     none = F.struct(F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("keys"))
     more = lambda t, x: F.struct(F.array_append(t["at"], x["pos"].cast("int")).alias("at"), F.array_append(t["keys"], x["group_key"]).alias("keys"))
