@@ -77,16 +77,10 @@ def shingle_ranks(docs: DataFrame, text_col: str, s: Setting) -> np.ndarray:
     kinds = "block int, part int, n binary"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, held, size = np.zeros(s.cells, np.uint32), [], 0
+        total = np.zeros(s.cells, np.uint32)
         for batch in batches:
             for h in shingle_sets(batch["t"].tolist(), s.k):
-                held.append(h)
-                size += len(h)
-                if size > 2_000_000:
-                    total += np.bincount((np.concatenate(held) % np.uint64(s.cells)).astype(np.int64), minlength=s.cells).astype(np.uint32)
-                    held, size = [], 0
-        if held:
-            total += np.bincount((np.concatenate(held) % np.uint64(s.cells)).astype(np.int64), minlength=s.cells).astype(np.uint32)
+                np.add.at(total, (h % np.uint64(s.cells)).view(np.int64), np.uint32(1))  # in place: no second table of counts
         part = TaskContext.get().partitionId() % 8
         for b in range(blocks):
             some = total[b * BLOCK : (b + 1) * BLOCK]
