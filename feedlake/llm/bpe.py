@@ -19,7 +19,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-CACHED_WORDS, CACHED_PAIRS, LONGEST_CACHED = 400_000, 2_000_000, 60
+CACHED_WORDS, CACHED_PAIRS, LONGEST_CACHED = 250_000, 300_000, 60
 
 
 def _byte_letters() -> dict[str, int]:
