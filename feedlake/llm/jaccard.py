@@ -70,11 +70,18 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def shingle_ranks(docs: DataFrame, text_col: str, s: Setting) -> np.ndarray:
     """A rank for each hash cell, 0 for rare: how many documents hold a shingle of the cell, in octaves of what exceeds the count of a cell of rare shingles.
 
-    That is the mean of the lower half of the cells and four standard deviations of a count of that size. All documents count. Tasks send one block of counts for each 65,536 cells, which meet in two steps; the result has a fixed
-    size. Any ranks give exact results; good ones keep frequent shingles out of the regions.
+    That is the mean of the lower half of the cells and four standard deviations of a count of that size. All documents count. Tasks send one block of counts for each 65,536 cells,
+    a thinly filled one as places and counts, which meet in two steps; the result has a fixed size. Any ranks give exact results; good ones keep frequent shingles out of the regions.
     """
     blocks = s.cells // BLOCK
-    kinds = "block int, part int, n binary"
+    kinds = "block int, part int, at binary, n binary"
+
+    def sent(block: int, part: int, n: np.ndarray) -> pd.DataFrame:
+        """A row with the counts of a block; ``at`` holds their places, or nothing if all places follow each other."""
+        at = np.flatnonzero(n)
+        n = n.astype(np.uint16 if n.max() < 1 << 16 else np.uint32)
+        thin = len(at) * (2 + n.itemsize) < n.nbytes
+        return pd.DataFrame({"block": [block], "part": [part], "at": [at.astype(np.uint16).tobytes() if thin else b""], "n": [(n[at] if thin else n).tobytes()]})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(s.cells, np.uint32)
@@ -85,8 +92,7 @@ def shingle_ranks(docs: DataFrame, text_col: str, s: Setting) -> np.ndarray:
         for b in range(blocks):
             some = total[b * BLOCK : (b + 1) * BLOCK]
             if some.any():
-                some = some.astype(np.uint16) if some.max() < 1 << 16 else some
-                yield pd.DataFrame({"block": [b], "part": [part], "n": [some.tobytes()]})
+                yield sent(b, part, some)
 
     def added(last: bool):
         """Adds up the rows of each block and part, which come together; the last step gives levels in place of counts."""
@@ -94,19 +100,21 @@ def shingle_ranks(docs: DataFrame, text_col: str, s: Setting) -> np.ndarray:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at, total = None, None
             for batch in batches:
-                for block, part, n in zip(batch["block"], batch["part"], batch["n"], strict=True):
+                for block, part, places, n in zip(batch["block"], batch["part"], batch["at"], batch["n"], strict=True):
                     if (block, part) != at:
                         if at:
                             yield out(at, total)
                         at, total = (block, part), np.zeros(BLOCK, np.uint64)
-                    total += np.frombuffer(n, np.uint16 if len(n) == 2 * BLOCK else np.uint32)
+                    size = len(places) // 2 or BLOCK
+                    total[np.frombuffer(places, np.uint16) if places else slice(None)] += np.frombuffer(n, np.uint16 if len(n) == 2 * size else np.uint32)
             if at:
                 yield out(at, total)
 
         def out(at: tuple, total: np.ndarray) -> pd.DataFrame:
             n = np.minimum(total, (1 << 32) - 1)
-            n = np.floor(STEPS * np.log2(n + 1.0)).astype(np.uint8) if last else n.astype(np.uint32)
-            return pd.DataFrame({"block": [at[0]], "part": [at[1]], "n": [n.tobytes()]})
+            if not last:
+                return sent(*at, n)
+            return pd.DataFrame({"block": [at[0]], "part": [at[1]], "at": [b""], "n": [np.floor(STEPS * np.log2(n + 1.0)).astype(np.uint8).tobytes()]})
 
         return run
 
@@ -114,8 +122,9 @@ def shingle_ranks(docs: DataFrame, text_col: str, s: Setting) -> np.ndarray:
     merged = docs.select(F.col(text_col).alias("t")).mapInPandas(count, kinds).repartition(*key).sortWithinPartitions(*key).mapInPandas(added(False), kinds)
     merged = merged.withColumn("part", F.lit(0)).repartition(*key).sortWithinPartitions(*key).mapInPandas(added(True), kinds)
     level_of = np.zeros(s.cells, np.uint8)
-    for r in merged.collect():
-        level_of[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.n, np.uint8)
+    with small_batches(docs.sparkSession, 200):
+        for r in merged.collect():
+            level_of[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.n, np.uint8)
     counts = 2 ** ((level_of + 0.5) / STEPS) - 1
     usual = counts[counts <= np.median(counts)].mean()
     above = counts - usual - 4 * np.sqrt(usual) - 4

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,9 @@ _RNG = np.random.default_rng(6_174)
 _TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _BASE = int(_RNG.integers(1 << 61, 1 << 62)) * 4 + 3
 _POWERS: list[np.ndarray] = []
+_GAP = re.compile(rb"[\t-\r ]")
+#: Bytes that are hashed at once, up to the end of the word there.
+PIECE = 300_000
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,7 +38,19 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word (run without ASCII white space) of ``data``."""
+    """Hash and start of each word (run without ASCII white space) of ``data``; long texts go in pieces, which bounds the memory beside the result."""
+    hashes, starts, at = [], [], 0
+    while at < len(data) or not hashes:
+        gap = _GAP.search(data, at + PIECE)
+        end = gap.end() if gap else len(data)
+        h, s = _hashed(data[at:end])
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)
     gap = np.concatenate(([True], _SPACE[raw], [True]))
     starts = np.flatnonzero(gap[:-1] & ~gap[1:])
@@ -44,7 +60,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _mix((total[ends] - total[starts]) * inverse[starts]), starts
 
 
-def shingle_sets(texts: list[str | None], k: int, piece_bytes: int = 300_000) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], k: int, piece_bytes: int = PIECE) -> Iterator[np.ndarray]:
     """The sorted distinct ``k``-word shingles of each text, A-Z lower-cased; a shorter text's words are one shingle, none give an empty set."""
     at = 0
     while at < len(texts):
