@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import functools
 import json
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import keyed_text, restored
+from .common import kept
 
 #: The byte-level pre-tokeniser's pattern, with the Unicode white space written out (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -123,10 +124,9 @@ class _Words(dict):
         return got
 
 
-@functools.cache
 def vocabulary(path: str) -> Vocabulary:
-    """One vocabulary for each worker process."""
-    return Vocabulary(path)
+    """The vocabulary, loaded once by each worker process while it encodes."""
+    return kept(("vocabulary", path), lambda: Vocabulary(path))
 
 
 def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,16 +138,18 @@ def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text
     is encoded where it is read, and a worker keeps bounded caches only.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocab_path)
         for batch in batches:
-            for at in range(0, len(batch), 500):  # small pieces bound what one worker holds
-                some = batch.iloc[at : at + 500]
-                ids = [v.encode(t or "") for t in some["t"]]
-                yield pd.DataFrame({"i": some["i"], "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [v.decode(x) for x in ids]})
-
-    out = docs.select(*keyed_text(docs, id_col, text_col)).mapInPandas(run, "i string, n_tokens long, ids binary, decoded string")
-    return restored(out, docs, id_col)
+            for at in range(0, batch.num_rows, 500):  # small pieces bound what one worker holds
+                keys, texts = batch.slice(at, 500).columns
+                ids = [v.encode(t) for t in texts.to_pylist()]
+                made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([v.decode(x) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([keys, *made], names)
+
+    names = [id_col, "n_tokens", "ids", "decoded"]
+    kinds = T.StructType([T.StructField(n, k) for n, k in zip(names, (docs.schema[id_col].dataType, T.LongType(), T.BinaryType(), T.StringType()), strict=True)])
+    return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).mapInArrow(run, kinds)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

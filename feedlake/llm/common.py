@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
+_model: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """The one model that a worker process keeps from task to task; that of another operator gives way, as Spark reuses workers for all."""
+    if key not in _model:
+        _model.clear()
+        _model[key] = make()
+    return _model[key]
 
 
 def scratch_dir(spark: SparkSession) -> str:

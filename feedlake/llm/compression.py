@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hash_share, held_out
+from .common import hash_share, held_out, kept
 
 LEVEL, CHUNK, BLOCK = 3, 4096, 1024
 
@@ -29,8 +29,11 @@ class Classifier:
     scales: tuple[float, ...]
 
 
-@functools.lru_cache(maxsize=4)
 def _compressors(good: bytes, bad: bytes) -> tuple:
+    return kept(("compressors", good, bad), lambda: _made(good, bad))
+
+
+def _made(good: bytes, bad: bytes) -> tuple:
     made = []
     for data in (good, bad):
         book = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -137,24 +140,25 @@ def score_quality(docs: DataFrame, model: Classifier | None, id_col: str = "doc_
     """id, the kept columns and ``score`` for each row; whole texts are compressed, in blocks. No shuffle.
 
     Null and empty texts have all features zero and the score that follows. Without a model every score is 0.5.
-    Repeated rows give equal rows; columns not named are not used. The model (dictionaries of bounded size) travels as a broadcast variable.
+    Repeated rows give equal rows; columns not named are not used; kept ones of any type pass as they are, but one named ``score`` gives way to the score.
+    The model (dictionaries of bounded size) travels as a broadcast variable.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            if m is None or not len(batch):
-                yield batch.drop(columns="_t").assign(score=0.5)
-                continue
-            x = np.array([features(t, m.good, m.bad) for t in batch["_t"]])
-            yield batch.drop(columns="_t").assign(score=score_of(m, x))
-
-    rows = docs.select(F.col(id_col).cast("string").alias("_i"), *[F.col(c).cast("string") for c in keep if c != id_col], F.col(text_col).alias("_t"))
-    kinds = ", ".join(f"`{f.name}` string" for f in rows.schema if f.name != "_t")
-    out = rows.mapInPandas(run, f"{kinds}, score double")
-    names = [c for c in keep if c != id_col]
-    return out.select(F.col("_i").cast(docs.schema[id_col].dataType).alias(id_col), *[F.col(c).cast(docs.schema[c].dataType) for c in names], "score")
+            for at in range(0, batch.num_rows, 500):  # small pieces bound what one worker holds
+                part = batch.slice(at, 500)
+                texts = part.column(place).to_pylist()
+                score = np.full(len(texts), 0.5) if m is None else score_of(m, np.array([features(t, m.good, m.bad) for t in texts]))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(score, pa.float64())], [*names, "score"])
+
+    names = [id_col, *(c for c in keep if c not in (id_col, "score"))]
+    place = names.index(text_col) if text_col in names else len(names)
+    rows = docs.select(*names, *[F.col(text_col).alias("_t")] * (text_col not in names))
+    kinds = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in names] + [T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, kinds)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
