@@ -126,10 +126,17 @@ def shingle_ranks(docs: DataFrame, text_col: str, s: Setting) -> np.ndarray:
     with small_batches(docs.sparkSession, 200):
         for r in merged.collect():
             level_of[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.n, np.uint8)
-    counts = 2 ** ((level_of + 0.5) / STEPS) - 1
-    usual = counts[counts <= np.median(counts)].mean()
+    return ranks_of(level_of)
+
+
+def ranks_of(level_of: np.ndarray) -> np.ndarray:
+    """The ranks of cells with these levels. All is worked out for the 256 levels, so that the driver holds no wider table of the cells."""
+    counts = 2 ** ((np.arange(256) + 0.5) / STEPS) - 1
+    cells = np.bincount(level_of, minlength=256)
+    lower = np.searchsorted(cells.cumsum(), (len(level_of) + 1) // 2) + 1
+    usual = np.average(counts[:lower], weights=cells[:lower])
     above = counts - usual - 4 * np.sqrt(usual) - 4
-    return np.where(above > 0, np.clip(np.log2(np.maximum(above, 1)) + 1, 1, 60), 0).astype(np.uint8)
+    return np.where(above > 0, np.clip(np.log2(np.maximum(above, 1)) + 1, 1, 60), 0).astype(np.uint8)[level_of]
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, s: Setting) -> DataFrame:
