@@ -5,80 +5,88 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from feedlake.functions.text import content_hash, normalize_url
 
+from .components import merge_labels, star_components
+
 
 def match_keys(articles: DataFrame) -> DataFrame:
     """Adds ``url_key`` and ``content_hash``."""
     return articles.withColumn("url_key", normalize_url(F.col("url"))).withColumn("content_hash", content_hash(F.col("text"), F.col("content_status")))
 
 
-def canonical_edges(keyed: DataFrame) -> DataFrame:
-    """Links from later rows that are no reposts to the first row with the same URL key or the same content hash.
+def canonical_edges(keyed: DataFrame, later: DataFrame | None = None) -> DataFrame:
+    """Links from later rows that are no reposts (those of ``later``, if given) to the first row with the same URL key or the same content hash.
 
-    Two equi-joins in union, never a join on a disjunction. Each row links to its key's first row and to the first that is no
-    repost before it, so a key with many rows gives as many links, not pairs.
+    Two equi-joins in union, never a join on a disjunction. Each row links to its key's first row, so a key with many rows gives as many links, not
+    pairs; the merge joins stand right on their exchanges, so Spark splits a key that holds a large share of all rows.
     """
     edges = []
     for key in ("url_key", "content_hash"):
         rows = keyed.where(F.col(key).isNotNull()).select(key, "article_id", "collected_at", "is_repost")
         first = rows.groupBy(key).agg(F.min_by("article_id", F.struct("collected_at", "article_id")).alias("first_id"))
-        edges.append(rows.where(~F.col("is_repost")).join(first, key).where(F.col("article_id") != F.col("first_id")).select("article_id", F.col("first_id").alias("other_id")))
+        links = rows if later is None else later.where(F.col(key).isNotNull())
+        links = links.where(~F.col("is_repost")).select(key, "article_id")
+        edges.append(links.join(first.hint("merge"), key).where(F.col("article_id") != F.col("first_id")).select("article_id", F.col("first_id").alias("other_id")))
     return edges[0].unionByName(edges[1]).distinct()
 
 
-def canonical_groups(articles: DataFrame, spark: SparkSession) -> DataFrame:
+def canonical_groups(articles: DataFrame) -> DataFrame:
     """(article_id, canonical_id): the first row by (collected_at, id) of each connected component of the links.
 
-    Labels spread over links until nothing changes, and each round also takes the label of the new label, so chains halve; rounds are checkpointed in the shared folder where one is set.
+    Links are contracted to stars in logarithmic rounds of written tables; rows without links are their own group.
     """
     keyed = match_keys(articles)
-    rank = F.struct("collected_at", "article_id")
-    edges = canonical_edges(keyed)
-    both = edges.unionByName(edges.select(F.col("other_id").alias("article_id"), F.col("article_id").alias("other_id"))).distinct()
-    both = _cut(both, spark)
-    labels = keyed.groupBy("article_id").agg(F.min(rank).alias("label"))
-    while True:
-        near = both.join(labels.select(F.col("article_id").alias("other_id"), F.col("label").alias("l")), "other_id").groupBy("article_id").agg(F.min("l").alias("near"))
-        step = labels.join(near, "article_id", "left").select("article_id", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("article_id").alias("via"), F.col("label").alias("beyond"))
-        step = step.join(jump, F.col("next.article_id") == F.col("via"), "left").select("article_id", "label", F.least("next", "beyond").alias("next"))
-        step = _cut(step, spark)
-        labels = step.select("article_id", F.col("next").alias("label"))
-        if step.where(F.col("next") != F.col("label")).isEmpty():
-            break
-    return labels.select("article_id", F.col("label.article_id").alias("canonical_id"))
-
-
-def _cut(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Ends the lineage in the checkpoint folder; without one (a local session that set none) the plan just grows."""
-    has = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return df.checkpoint() if has else df.persist()
+    return _named(star_components(_ranked_links(canonical_edges(keyed), keyed)), keyed)
+
+
+def grow_groups(stored: DataFrame, groups: DataFrame, batch: DataFrame) -> DataFrame:
+    """canonical_groups() of ``stored`` and ``batch`` together, from the stored ``groups`` and the links of the batch alone.
+
+    Equal to the whole run where no row of the batch is earlier than a stored row with one of its keys, as arrival order is time order; ids of the batch are new.
+    """
+    old, new = match_keys(stored), match_keys(batch)
+    both = old.unionByName(new)
+    fresh = canonical_edges(both, new)
+    rank = both.select("article_id", F.struct("collected_at", "article_id").alias("node"))
+    labels = groups.join(rank.hint("merge"), "article_id").join(rank.select(F.col("article_id").alias("canonical_id"), F.col("node").alias("root")).hint("merge"), "canonical_id")
+    return _named(merge_labels(labels.select("node", "root"), _ranked_links(fresh, both)), both)
+
+
+def _ranked_links(edges: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Links between (collected_at, id), so that the least node of a component is its first row."""
+    rank = lambda c, to: keyed.select(F.col("article_id").alias(c), F.struct("collected_at", "article_id").alias(to)).hint("merge")
+    return edges.join(rank("article_id", "u"), "article_id").join(rank("other_id", "v"), "other_id").select("u", "v")
+
+
+def _named(roots: DataFrame, keyed: DataFrame) -> DataFrame:
+    found = roots.select(F.col("node.article_id").alias("article_id"), F.col("root.article_id").alias("root_id"))
+    return keyed.select("article_id").distinct().join(found.hint("merge"), "article_id", "left").select("article_id", F.coalesce("root_id", "article_id").alias("canonical_id"))
 
 
 def merge_discoveries(articles: DataFrame, groups: DataFrame) -> DataFrame:
     """One row for each canonical article: first identity and times, latest metrics, the best text, and all ways it was found.
 
-    Arrays are ordered by discovery. A group's arrays hold short strings, distinct ones only.
+    Arrays are ordered by discovery and hold distinct values: the first order of each value is found before values are gathered.
     """
-    rows = articles.join(groups, "article_id")
+    rows = articles.join(groups.hint("merge"), "article_id")
     order = F.struct("collected_at", "article_id")
     text_order = F.struct((F.col("content_status") == "full").alias("full"), "collected_at", "article_id")
-
-    def found(column: str) -> Column:
-        pairs = F.array_sort(F.collect_set(F.struct("collected_at", "article_id", F.col(column).alias("v"))))
-        return F.array_distinct(F.transform(pairs, lambda x: x["v"]))
-
-    return rows.groupBy("canonical_id").agg(
+    merged = rows.groupBy("canonical_id").agg(
         F.min_by("source", order).alias("source"), F.min_by("url", order).alias("url"), F.min("collected_at").alias("collected_at"),
         F.coalesce(F.min_by(F.when(F.col("published_at") > 0, F.col("published_at")), F.when(F.col("published_at") > 0, order)), F.lit(0)).alias("published_at"),
-        F.max_by("likes", order).alias("likes"), F.max_by("replies", order).alias("replies"), F.max_by("text_norm", text_order).alias("text_norm"),
-        found("source").alias("discovery_sources"), found("url").alias("discovery_urls"), found("author").alias("discovery_authors"), F.count(F.lit(1)).alias("n_rows"),
+        F.max_by("likes", order).alias("likes"), F.max_by("replies", order).alias("replies"), F.max_by("text_norm", text_order).alias("text_norm"), F.count(F.lit(1)).alias("n_rows"),
     )
+    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("v")) for c in ("source", "url", "author")])
+    each = rows.select("canonical_id", order.alias("at"), F.explode(kinds).alias("k")).where("k.v IS NOT NULL").groupBy("canonical_id", "k.kind", "k.v").agg(F.min("at").alias("at"))
+    pick = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "v")))), lambda x: x["v"])
+    found = each.groupBy("canonical_id").agg(*[pick(kind).alias(name) for kind, name in (("source", "discovery_sources"), ("url", "discovery_urls"), ("author", "discovery_authors"))])
+    none = F.array().cast("array<string>")
+    return merged.join(found.hint("merge"), "canonical_id", "left").withColumns({c: F.coalesce(c, none) for c in ("discovery_sources", "discovery_urls", "discovery_authors")})
 
 
 @F.pandas_udf(StringType())

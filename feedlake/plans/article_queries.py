@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.text import SUBSTANCE, content_hash, normalize_url
 from feedlake.operators import dedupe, quality, ranking
+from feedlake.sources.scratch import written
 from feedlake.sources.tables import NOW, START, accounts, articles, monitors, publishers, table
 
 from .oracle_views import oracle
@@ -141,7 +142,16 @@ groups AS (SELECT r.a AS article_id, arg_min(r.b, (k.collected_at, k.article_id)
 
 @query("d03_canonical_groups", GROUPS + "SELECT article_id, canonical_id FROM groups")
 def canonical(spark, sf):
-    return dedupe.canonical_groups(articles(spark, sf), spark)
+    return dedupe.canonical_groups(articles(spark, sf))
+
+
+@query("d03_grow_groups", GROUPS + "SELECT article_id, canonical_id FROM groups")
+def grown(spark, sf):
+    """The groups of the first two thirds of the time, and the rest merged into them."""
+    a = articles(spark, sf)
+    late = F.col("collected_at") >= START + 2 * (NOW - START) // 3
+    stored = a.where(~late)
+    return dedupe.grow_groups(stored, written(dedupe.canonical_groups(stored), "groups"), a.where(late))
 
 
 @query("d04_merge", GROUPS + """SELECT canonical_id, arg_min(source, (collected_at, article_id)) AS source, arg_min(url, (collected_at, article_id)) AS url, min(collected_at) AS collected_at,
@@ -149,7 +159,7 @@ def canonical(spark, sf):
 FROM groups JOIN articles USING (article_id) GROUP BY 1""")
 def merge(spark, sf):
     a = articles(spark, sf)
-    out = dedupe.merge_discoveries(a, dedupe.canonical_groups(a, spark))
+    out = dedupe.merge_discoveries(a, dedupe.canonical_groups(a))
     return out.select("canonical_id", "source", "url", "collected_at", "published_at", "n_rows", F.size("discovery_authors").cast("long").alias("n_authors"), F.size("discovery_sources").cast("long").alias("n_sources"))
 
 

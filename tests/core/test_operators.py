@@ -103,7 +103,7 @@ def test_near_duplicates(spark):
 
 def test_canonical_groups_find_planted_copies(spark):
     a = articles(spark, SF)
-    groups = dedupe.canonical_groups(a, spark)
+    groups = dedupe.canonical_groups(a)
     merged = dedupe.merge_discoveries(a, groups)
     assert groups.count() == a.count() and merged.agg(F.sum("n_rows")).first()[0] == a.count() and merged.count() < a.count()
 
