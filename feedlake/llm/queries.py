@@ -8,6 +8,7 @@ from .fertility import op6
 from .jaccard import op3
 from .language import op1
 from .line_dedup import OP10_SQL, op10
+from .phrases import OP11_SQL, op11
 from .secrets import op4
 from .templates import op9
 from .url_rules import OP7_SQL, op7
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_warc": op8,
         "op9_decontamination": op9,
         "op10_line_dedup": op10,
+        "op11_phrases": op11,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL, "op8_warc": OP8_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op7_url_filter": OP7_SQL, "op8_warc": OP8_SQL, "op10_line_dedup": OP10_SQL, "op11_phrases": OP11_SQL}
