@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -20,7 +22,9 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-CACHED_WORDS, CACHED_PAIRS, LONGEST_CACHED = 250_000, 300_000, 60
+#: A blank with white space or the end behind it: only then does a pre-token reach over a cut before a blank.
+OPEN_BLANK = re.compile(rf" (?:[{SPACE}]|\Z)")
+CACHED_WORDS, CACHED_PAIRS, LONGEST_CACHED = 150_000, 300_000, 60
 
 
 def _byte_letters() -> dict[str, int]:
@@ -52,8 +56,10 @@ class Vocabulary:
             self.suffixes.add_word(b.decode("latin-1"), (len(b), i))
         self.suffixes.make_automaton()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words = _Words(self)
+        self.pairs: dict[int, bool] = {}
+        self.old_pairs: dict[int, bool] = {}
+        self.words = _Cache(lambda word: np.array(self.encode_word(word.encode()), "<u4").tobytes())
+        self.runs = _Cache(lambda run: b"".join(map(self.words.__getitem__, SPLIT.findall(" " + run))))
 
     def merged(self, data: bytes) -> list[int]:
         """Merges by rank, for the few bytes of one or two tokens."""
@@ -66,33 +72,35 @@ class Vocabulary:
         return ids
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether ``b`` can follow ``a``: their bytes together encode to just these two (a < 0: ``b`` stands alone)."""
-        got = self.pairs.get((a, b))
+        """Whether ``b`` can follow ``a``: their bytes together encode to just these two (a < 0: ``b`` stands alone). Kept by a packed key, for encode_word()."""
+        key = (a << 17) + b
+        got = self.old_pairs.get(key)
         if got is None:
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
             want = [b] if a < 0 else [a, b]
-            got = self.pairs[a, b] = self.merged(b"".join(self.bytes_of[x] for x in want)) == want
+            got = self.merged(b"".join(self.bytes_of[x] for x in want)) == want
+        if len(self.pairs) >= CACHED_PAIRS:
+            self.old_pairs = dict(self.pairs)
+            self.pairs.clear()
+        self.pairs[key] = got
         return got
 
     def encode_word(self, data: bytes) -> list[int]:
         """Exact ids of one pre-token: the last token of each prefix is unique, and back-pointers from the end give all."""
         n = len(data)
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for end, token in self.suffixes.iter(data.decode("latin-1")):
-            ends[end + 1].append(token)
-        last: list[tuple[int, int] | None] = [(0, -1)] + [None] * n
-        for i in range(1, n + 1):
-            for width, token in ends[i]:
-                before = last[i - width]
-                if before is not None and self.compatible(before[1], token):
-                    last[i] = (width, token)
-                    break
+        tokens: list[int | None] = [-1] + [None] * n
+        widths = [0] * (n + 1)
+        known = self.pairs.get
+        for end, (width, token) in self.suffixes.iter(data.decode("latin-1")):
+            if tokens[end + 1] is None:
+                before = tokens[end + 1 - width]
+                if before is not None:
+                    fits = known((before << 17) + token)
+                    if fits or fits is None and self.compatible(before, token):
+                        tokens[end + 1], widths[end + 1] = token, width
         out, i = [], n
         while i:
-            width, token = last[i]
-            out.append(token)
-            i -= width
+            out.append(tokens[i])
+            i -= widths[i]
         return out[::-1]
 
     def encode(self, text: str) -> bytes:
@@ -100,27 +108,39 @@ class Vocabulary:
         parts = self.cut.split(text) if self.cut else [text]
         packed = []
         for k, part in enumerate(parts):
-            packed += [self.special[part].to_bytes(4, "little")] if k % 2 else map(self.words.__getitem__, SPLIT.findall(part))
+            packed += [self.special[part].to_bytes(4, "little")] if k % 2 else self.encoded(part)
         return b"".join(packed)
 
+    def encoded(self, text: str) -> Iterable[bytes]:
+        """Packed ids of a text without special tokens. Where each blank has a word behind it, a blank always begins a pre-token, so that the text is
+        cut at blanks first and what lies between them is looked up whole."""
+        if OPEN_BLANK.search(text):
+            return map(self.words.__getitem__, SPLIT.findall(text))
+        first, *rest = text.split(" ")
+        return chain(map(self.words.__getitem__, SPLIT.findall(first)), map(self.runs.__getitem__, rest))
+
     def decode(self, packed: bytes) -> str:
         """The text of packed ids."""
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
 
 
-class _Words(dict):
-    """Packed ids by pre-token, bounded in number and in length of what it keeps."""
+class _Cache(dict):
+    """Packed ids by string, bounded in number and in length of what it keeps. When it is full, its strings become the older ones, and those
+    that come again move back, so frequent ones stay."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.make, self.older = make, {}
 
-    def __missing__(self, word: str) -> bytes:
-        got = np.array(self.vocabulary.encode_word(word.encode()), "<u4").tobytes()
-        if len(word) <= LONGEST_CACHED:
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= LONGEST_CACHED:
             if len(self) >= CACHED_WORDS:
+                self.older = dict(self)
                 self.clear()
-            self[word] = got
+            self[key] = got
         return got
 
 
