@@ -11,6 +11,7 @@ from .line_dedup import OP10_SQL, op10
 from .phrases import OP11_SQL, op11
 from .secrets import op4
 from .templates import op9
+from .token_files import op13
 from .url_rules import OP7_SQL, op7
 from .warc import OP8_SQL, op8
 
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op9_decontamination": op9,
         "op10_line_dedup": op10,
         "op11_phrases": op11,
+        "op13_token_files": op13,
     }
 
 
