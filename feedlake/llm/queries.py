@@ -14,6 +14,7 @@ from .templates import op9
 from .token_files import op13
 from .url_rules import OP7_SQL, op7
 from .warc import OP8_SQL, op8
+from .whitening import op12
 
 
 def queries() -> dict:
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op9_decontamination": op9,
         "op10_line_dedup": op10,
         "op11_phrases": op11,
+        "op12_whitening": op12,
         "op13_token_files": op13,
     }
 
