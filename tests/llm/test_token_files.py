@@ -11,7 +11,7 @@ from feedlake.llm.token_files import Encoder, from_planes, op13, read_span, read
 from .cases import no_docs, odd_docs
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["Two  blanks, <|endoftext|>and a Special\ttab", "e\u0301 \u0301x \u0130I \u03a3\u03a3 \x85 \xa0 \x1c\u2028 end", "it's 12 3% \U0001f600\r\n\n x", "a b " * 400_000 + "long"]
+TEXTS = ["Two  blanks, <|endoftext|>and a Special\ttab", "e\u0301 \u0301x \u0130I \u03a3\u03a3 \x85 \xa0 \x1c\u2028 end", "it's 12 3% \U0001f600\r\n\n x", "a b " * 400_000 + "long", "Word. word?, x_. (y). 9.. \u00e9! \u03a3. <|ENDOFTEXT|>. <|endoftext|>. it'S. \u00bd, e\u0301. \u4e09.", "a\x01b \x01 c. \x01\x01", "no.end", "UPPER Case. <|x"]
 
 
 @pytest.mark.parametrize("planes", [4, 32])
