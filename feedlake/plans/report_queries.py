@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from feedlake.functions.text import local_day
 from feedlake.operators import metrics
-from feedlake.sources.tables import NOW, articles, events, monitors, table, usage
+from feedlake.sources.scratch import shared_path
+from feedlake.sources.snapshots import ARTICLE, Snapshot, article_rows, merge_articles
+from feedlake.sources.tables import NOW, START, articles, events, monitors, table, usage
 from feedlake.streaming import operators as st
+from feedlake.streaming.late import late_writer
 
 from .article_queries import judged
 from .oracle_views import oracle
@@ -155,18 +155,41 @@ def growth(spark, sf):
     return metrics.metric_growth(s)
 
 
-@query("w03_observation_batch", """, p AS (SELECT user_id AS article, min(ts) AS begun FROM events WHERE event_type = 'signup' GROUP BY 1), c AS (SELECT user_id AS article, max(ts) AS seen, arg_max(CAST(floor(coalesce(value, 0)) AS BIGINT), (ts, CAST(floor(coalesce(value, 0)) AS BIGINT))) AS likes FROM events WHERE event_type IN ('view', 'click') GROUP BY 1)
-SELECT article, CASE WHEN likes >= 100 THEN 'pending' WHEN seen >= begun + INTERVAL 2880 MINUTE THEN 'filtered' ELSE 'observing' END AS verdict FROM p LEFT JOIN c USING (article)""")
+#: One day to wait, 20 likes, due every 6 hours after that, for 3 days.
+RULE = st.Rule(1440, 20, 360, 4320)
+UNTIL = NOW + 30 * 86_400_000
+OBSERVED = f""", p AS (SELECT doc_id AS article, {START} + (doc_id * 7919 % 2592000 + doc_id % 172800) * 1000 AS at_ms, CASE WHEN doc_id % 17 = 0 THEN 0 ELSE {START} + (doc_id * 7919 % 2592000) * 1000 END AS published_ms,
+  doc_id * 31 % 25 AS likes, doc_id % 11 = 0 AS exempt FROM documents),
+c AS (SELECT article, at_ms + (article % 7 * 9 + k * 13) * 3600000 AS t, (article * 31 + k * 17) % 40 >= 20 AS ok FROM p, range(3) r(k) WHERE article % (k + 3) <> 0),
+d AS (SELECT *, published_ms + 86400000 AS deadline, CASE WHEN exempt OR likes >= 20 THEN 'pending' WHEN published_ms = 0 OR at_ms >= published_ms + 86400000 THEN 'filtered' END AS at_once FROM p),
+m AS (SELECT article, min(struct_pack(t := t, failed := NOT ok)) AS m FROM d JOIN c USING (article) WHERE at_once IS NULL AND t >= at_ms AND t <= deadline + 259200000 AND (ok OR t >= deadline) GROUP BY 1),
+f AS (SELECT *, deadline + 259200000 AS fin FROM d LEFT JOIN m USING (article))
+SELECT article, coalesce(at_once, CASE WHEN m IS NOT NULL THEN CASE WHEN m.failed THEN 'filtered' ELSE 'pending' END ELSE 'expired' END) AS verdict, CASE WHEN at_once IS NOT NULL THEN at_ms WHEN m IS NOT NULL THEN m.t ELSE fin END AS at_ms FROM f
+UNION ALL SELECT article, 'due', unnest(range(deadline, coalesce(m.t, fin), 21600000)) FROM f WHERE at_once IS NULL"""
+
+
+def _posts(docs):
+    at = F.expr(f"timestamp_millis({START} + (doc_id * 7919 % 2592000 + doc_id % 172800) * 1000)")
+    return docs.select(F.col("doc_id").alias("article"), at.alias("at"), F.expr(f"IF(doc_id % 17 = 0, 0L, {START} + (doc_id * 7919 % 2592000) * 1000)").alias("published_ms"), F.expr("doc_id * 31 % 25").alias("likes"), F.expr("doc_id % 11 = 0").alias("exempt"))
+
+
+def _checks(posts):
+    each = posts.select("article", "at", F.explode(F.array(*map(F.lit, range(3)))).alias("k")).where("article % (k + 3) <> 0")
+    return each.select("article", F.timestamp_millis(F.unix_millis("at") + (F.col("article") % 7 * 9 + F.col("k") * 13) * 3_600_000).alias("at"), ((F.col("article") * 31 + F.col("k") * 17) % 40).alias("likes"))
+
+
+@query("w03_observation_batch", OBSERVED)
 def observation(spark, sf):
-    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    posts = e.where("event_type = 'signup'").selectExpr("user_id AS article", "ts AS at")
-    checks = e.where("event_type IN ('view', 'click')").selectExpr("user_id AS article", "ts AS at", "CAST(floor(coalesce(value, 0)) AS BIGINT) AS likes")
-    return st.observe_batch(posts, checks, 2880, 100)
+    posts = _posts(table(spark, sf, "documents"))
+    return st.observe_batch(posts, _checks(posts), RULE, UNTIL)
 
 
-@query("w04_cooldown_batch", """, n AS MATERIALIZED (SELECT user_id AS key, epoch_us(ts) // 1000 AS at_ms FROM events WHERE event_type = 'purchase'),
+COOLED = """, n AS MATERIALIZED (SELECT user_id AS key, epoch_us(ts) // 1000 AS at_ms FROM events WHERE event_type = 'purchase'),
 r(key, at_ms) AS (SELECT key, min(at_ms) FROM n GROUP BY 1 UNION ALL SELECT r.key, (SELECT min(n.at_ms) FROM n WHERE n.key = r.key AND n.at_ms >= r.at_ms + 86400000) FROM r WHERE EXISTS (SELECT 1 FROM n WHERE n.key = r.key AND n.at_ms >= r.at_ms + 86400000))
-SELECT key, at_ms FROM r""")
+SELECT key, at_ms FROM r"""
+
+
+@query("w04_cooldown_batch", COOLED)
 def cooldown(spark, sf):
     n = table(spark, sf, "events").where("event_type = 'purchase'").selectExpr("user_id AS key", "unix_micros(CAST(ts AS timestamp)) div 1000 AS at_ms")
     return st.cooldown_batch(n, 86_400_000)
@@ -184,39 +207,81 @@ def _stream(spark, sf, name):
 
 
 def _checkpoint(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return shared_path(spark, "stream")
 
 
-@query("w05_usage_stream", "SELECT event_type AS category, count(*) AS calls FROM events GROUP BY 1")
+@query("w05_usage_stream", "SELECT CAST(date_trunc('day', ts + INTERVAL 8 HOUR) AS TIMESTAMP) - INTERVAL 8 HOUR AS start, event_type AS category, count(*) AS calls FROM events GROUP BY 1, 2")
 def usage_stream(spark, sf):
-    """The streaming operator over the events file, summed by category; update mode keeps every window's last count."""
+    """The streaming operator over the events file: every window, once it is closed."""
     s = _stream(spark, sf, "events").selectExpr("CAST(ts AS timestamp) AS at", "event_type AS category")
-    rows = st.run_available(st.usage_windows(s, "at", "category"), f"usage_{uuid.uuid4().hex}", _checkpoint(spark), "complete")
-    return rows.groupBy("category").agg(F.sum("calls").alias("calls"))
+    return st.run_closed(lambda x: st.usage_windows(x, "at", "category"), s, "at", _checkpoint(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("w04_cooldown_stream")
+@query("w04_cooldown_stream", COOLED)
 def cooldown_stream(spark, sf):
-    s = _stream(spark, sf, "events").where("event_type = 'purchase'").selectExpr("user_id AS key", "unix_micros(CAST(ts AS timestamp)) div 1000 AS at_ms")
-    return st.run_available(st.cooldown(s, 86_400_000), f"cooldown_{uuid.uuid4().hex}", _checkpoint(spark))
+    s = _stream(spark, sf, "events").where("event_type = 'purchase'").selectExpr("user_id AS key", "CAST(ts AS timestamp) AS at")
+    return st.run_closed(lambda x: st.cooldown(x, 86_400_000), s, "at", _checkpoint(spark))
 
 
-@query("w03_observation_stream")
+@query("w03_observation_stream", OBSERVED)
 def observation_stream(spark, sf):
-    e = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    posts = e.where("event_type = 'signup'").selectExpr("user_id AS article", "ts AS at")
-    checks = e.where("event_type IN ('view', 'click')").selectExpr("user_id AS article", "ts AS at", "CAST(floor(coalesce(value, 0)) AS BIGINT) AS likes")
-    return st.run_available(st.observe(posts, checks, 2880, 100), f"observe_{uuid.uuid4().hex}", _checkpoint(spark))
+    def run(docs):
+        posts = docs.select("article", "at", "published_ms", "likes", "exempt")
+        return st.observe(posts, _checks(posts.where("article IS NOT NULL")), RULE)
+
+    return st.run_closed(run, _posts(_stream(spark, sf, "documents")), "at", _checkpoint(spark))
 
 
 @query("d07_stream_distinct", "SELECT user_id AS article_id FROM events GROUP BY 1")
 def stream_distinct(spark, sf):
     s = _stream(spark, sf, "events").selectExpr("CAST(ts AS timestamp) AS at", "user_id AS article_id")
-    rows = st.run_available(st.distinct_in_window(s, "article_id", "at", "60 days"), f"distinct_{uuid.uuid4().hex}", _checkpoint(spark))
+    rows = st.run_available(st.distinct_in_window(s, "article_id", "at", "60 days"), _checkpoint(spark))
     return rows.select("article_id")
 
 
 @query("o05_local_day", "SELECT article_id, strftime(to_timestamp(published_at / 1000) AT TIME ZONE 'UTC' + INTERVAL 8 HOUR, '%Y-%m-%d') AS day FROM articles WHERE published_at > 0")
 def local_days(spark, sf):
     return articles(spark, sf).where("published_at > 0").select("article_id", local_day(F.col("published_at")).alias("day"))
+
+
+def _addressed(spark, sf):
+    """Articles under the first one with their URL, with ``early`` for the first half of the time."""
+    a = articles(spark, sf)
+    first = a.groupBy("url").agg(F.min_by("article_id", F.struct("collected_at", "article_id")).alias("canonical_id"))
+    groups = a.select("article_id", "url").join(first.hint("merge"), "url").select("article_id", "canonical_id")
+    return article_rows(a, groups, "topic").withColumn("early", F.col("collected_at") < START + (NOW - START) // 2)
+
+
+@query("j09_snapshot_merge", f""", f AS (SELECT url, arg_min(article_id, (collected_at, article_id)) AS id FROM articles GROUP BY 1),
+r AS (SELECT f.id, a.*, a.article_id = f.id AS own, a.content_status = 'full' AS full_text FROM articles a JOIN f USING (url))
+SELECT id AS article_id, arg_min(source, (collected_at, article_id)) AS source, min(collected_at) AS collected_at, coalesce(arg_min(published_at, (collected_at, article_id)) FILTER (WHERE published_at > 0), 0) AS published_at,
+  arg_max(coalesce(likes, -1), (collected_at, article_id)) AS likes, sha256(arg_max(text, (full_text, collected_at, article_id))) AS text_sha, arg_max(author, (full_text, collected_at, article_id)) FILTER (WHERE own) AS author,
+  array_to_string(list_distinct(list(author)).list_sort(), ',') AS authors, array_to_string(list_distinct(list(source)).list_sort(), ',') AS sources FROM r GROUP BY 1""")
+def snapshot_merge(spark, sf):
+    """Two versions of an article snapshot: the first half of the time, then the rest merged into the buckets that it touches."""
+    rows = _addressed(spark, sf)
+    snap = Snapshot(spark, shared_path(spark, "articles"), "article_id", ARTICLE)
+    for version, some in enumerate((rows.where("early"), rows.where("NOT early"))):
+        snap.merge(some, version, merge_articles)
+    listed = lambda c: F.array_join(F.array_sort(c), ",")
+    return snap.read(1).select("article_id", "source", "collected_at", "published_at", F.coalesce("likes", F.lit(-1)).alias("likes"), F.sha2("text", 256).alias("text_sha"), "author", listed("discovery_authors").alias("authors"), listed("discovery_sources").alias("sources"))
+
+
+ARRIVAL = "CAST(least(2, (collected_at - {0}) {1} 864000000 + IF(doc_id % 10 = 3, 1, 0) + IF(doc_id % 50 = 7, 2, 0)) AS INT)"
+
+
+@query("w06_late_rows", f""", a AS (SELECT article_id, collected_at AS seen, {ARRIVAL.format(START, "//").replace("IF(doc_id % 10 = 3, 1, 0)", "CAST(doc_id % 10 = 3 AS INT)").replace("IF(doc_id % 50 = 7, 2, 0)", "2 * CAST(doc_id % 50 = 7 AS INT)")} AS slot FROM articles),
+m AS (SELECT s.slot, (SELECT max(seen) FROM a WHERE a.slot < s.slot) AS mark FROM (SELECT DISTINCT slot FROM a) s)
+SELECT article_id, CASE WHEN mark IS NULL OR seen >= mark - 120000 THEN 'on_time' WHEN seen >= mark - 1296000000 THEN 'late' ELSE 'too_late' END AS kind, CASE WHEN mark IS NOT NULL AND seen < mark - 1296000000 THEN mark END AS missed FROM a JOIN m USING (slot)""")
+def late_rows(spark, sf):
+    """Three micro-batches of articles, some of which come in a later one: each row is on time, late or too late, and only the last kind is not in the snapshot."""
+    rows = articles(spark, sf).withColumn("slot", F.expr(ARRIVAL.format(START, "div")))
+    path = shared_path(spark, "late")
+    snap = Snapshot(spark, f"{path}/articles", "article_id", ARTICLE)
+    write = late_writer(path, snap, "collected_at", lambda x: x.select("article_id"), 15 * 86_400_000)
+    for number in range(3):
+        write(article_rows(rows.where(F.col("slot") == number)), number)
+    on_time = spark.read.schema("article_id string").parquet(*[f"{path}/on_time/v{k}" for k in range(3)]).withColumn("kind", F.lit("on_time"))
+    gone = spark.read.parquet(*[f"{path}/too_late/v{k}" for k in range(3)]).select("article_id", F.lit("too_late").alias("kind"), F.col("mark").alias("missed"))
+    late = snap.read(2).select("article_id").join(on_time.hint("merge"), "article_id", "left_anti").withColumn("kind", F.lit("late"))
+    return on_time.unionByName(late).unionByName(gone, allowMissingColumns=True)
