@@ -22,9 +22,9 @@ SLOT = f"^[0-9{NAME}{UNIT}]"
 GAP = "\u0001"
 
 
-def template_windows(table: DataFrame, id_col: str, text_col: str, width: int, least_words: int, units: tuple[str, ...] = UNITS) -> DataFrame:
+def template_windows(table: DataFrame, id_col: str, text_col: str, width: int, least_words: int, units: tuple[str, ...] = UNITS, short: tuple[int, ...] = (), whole: bool = False) -> DataFrame:
     """One row (_id, _fp, h, pos, slots) for each window of ``width`` tokens of each text: the hash of its template, its place, and the values in its
-    slots, null if it has none. A shorter text is one window.
+    slots, null if it has none. A shorter text is one window. For each width of ``short`` there are verbatim windows as well, of texts of just that many tokens only if they are to be ``whole``.
 
     A window with fewer than ``least_words`` plain words would say nothing as a template; it is hashed as it is, so only verbatim copies match it.
     Most texts have neither numbers nor names: two searches find that out, and their windows are hashed as they are.
@@ -58,16 +58,32 @@ def template_windows(table: DataFrame, id_col: str, text_col: str, width: int, l
 
     slotted = F.transform(F.transform(starts, cut), hashed)
     as_is = F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("_tokens", i, width)).alias("h"), i.alias("pos"), none.alias("slots")))
-    return rows.select("_id", "_fp", F.explode(F.when(F.col("_slotted"), slotted).otherwise(as_is)).alias("_w")).select("_id", "_fp", "_w.*")
+    windows = F.when(F.col("_slotted"), slotted).otherwise(as_is)
+    if short:
+        bare = F.transform("_tokens", lambda t: F.translate(t, NAME + UNIT, ""))
 
+        def verbatim(k: int) -> Column:
+            n = F.size("_tokens")
+            places = F.when(n == k if whole else n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda i: F.struct(F.xxhash64(F.slice("_bare", i, k)).alias("h"), i.alias("pos"), none.alias("slots")))
 
-def item_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int, least_words: int, units: tuple[str, ...]) -> DataFrame:
+        rows, windows = rows.withColumn("_bare", bare), F.concat(windows, *[verbatim(k) for k in short])
+    return rows.select("_id", "_fp", F.explode(windows).alias("_w")).select("_id", "_fp", "_w.*")
+
+
+def short_widths(benchmark: DataFrame, text_col: str, width: int, least_words: int) -> tuple[int, ...]:
+    """The widths of verbatim windows that ``benchmark`` asks for: from ``least_words`` to less than ``width``, if any item may have so few tokens (a name of several words, or a number, is one), else none."""
+    n = F.size(F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS, -1), ""))
+    return () if benchmark.where(n.between(least_words, 2 * width)).isEmpty() else tuple(range(least_words, width))
+
+
+def item_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int, least_words: int, units: tuple[str, ...], short: tuple[int, ...] = ()) -> DataFrame:
     """(item, form, h, own): the windows of each item as it stands (form 0) and in lower case (1), where names are plain words, with all
     places and slot values of each as a sorted array ``own``."""
     text = F.col(text_col).alias("_text")
     forms = benchmark.select(F.struct(F.col(item_col).alias("item"), F.lit(0).alias("form")).alias("_key"), text)
     forms = forms.unionByName(benchmark.select(F.struct(F.col(item_col).alias("item"), F.lit(1).alias("form")).alias("_key"), F.lower(text_col).alias("_text")).where(F.col(text_col).rlike(NAME_AT)))
-    windows = template_windows(forms, "_key", "_text", width, least_words, units)
+    windows = template_windows(forms, "_key", "_text", width, least_words, units, short, True)
     return windows.groupBy("_id.item", "_id.form", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "slots"))).alias("own"))
 
 
@@ -84,15 +100,17 @@ def contaminated(
     (fingerprint of the text), item, n_windows (distinct windows of the item), n_matched, coverage and reparameterised
     (it is found only with other values).
 
-    Null and empty texts have no windows; a text of fewer than ``width`` tokens is one window, so a short item is found where a document consists of it.
+    Null and empty texts have no windows; a text of fewer than ``width`` tokens is one window. An item of fewer has a verbatim window of its own width as well, so it is found inside texts, from ``least_words``
+    tokens on; one of fewer tokens still, which any text may hold by chance, where a document consists of it.
     A name that begins a sentence counts as a plain word. Rows with a null id or null item id are matched and returned with the null; repeated rows count once;
     extra columns are not used; an empty table gives no pairs. The item windows are written out and counted: up to
     ``broadcast_rows`` they are broadcast, beyond that the join is a merge join, which Spark splits where it is skewed.
     """
-    items = written(item_windows(benchmark, item_col, item_text_col, width, least_words, units), "item-windows")
+    short = short_widths(benchmark, item_text_col, width, least_words)
+    items = written(item_windows(benchmark, item_col, item_text_col, width, least_words, units, short), "item-windows")
     sizes = items.groupBy("item", "form").agg(F.count(F.lit(1)).alias("n_windows"))
     how = "broadcast" if items.count() <= broadcast_rows else "merge"
-    hits = template_windows(docs, id_col, text_col, width, least_words, units).join(items.hint(how), "h")
+    hits = template_windows(docs, id_col, text_col, width, least_words, units, short).join(items.hint(how), "h")
     hits = hits.select("_id", "_fp", "item", "form", "h", "pos", "slots", F.explode("own").alias("o")).where(F.col("slots").isNull() == F.col("o.slots").isNull())
     # The place matters only where there are slots. Written out, because three branches read it and the windows of all documents stand behind it.
     at = F.when(F.col("slots").isNotNull(), F.col("pos") - F.col("o.pos")).alias("at")

@@ -82,11 +82,11 @@ def test_templates(spark):
     two = "first " + changed + " and then " + longer
     askew = ITEM.replace("leaves Paris with 120", "leaves Lyon with 77").replace("48 boxes", "48 boxes of 120")
     texts = ["words before " + ITEM + " and words after", changed, "a clean text about a train and some people near a wall " * 3, ITEM[: len(ITEM) // 4], ITEM.lower(), mixed, "12 34 56 78 90 " * 30,
-             longer, two, "Who wrote: Hamlet?", "someone who wrote hamlet again and again", "5 6 7 8 9 10 11 12 13", "5 6 7 8 9 10 99 98 97", askew]
+             longer, two, "Who wrote: Hamlet?", "someone who wrote hamlet again and again", "5 6 7 8 9 10 11 12 13", "5 6 7 8 9 10 99 98 97", askew, "long " * 300 + "people Who wrote Hamlet. " + "more " * 300, "it said that 12 kg were left. And", "12 kg were left", "it said that 13 kg were left", "wrote hamlet who wrote it"]
     docs = odd_docs(spark, texts)
-    items = spark.createDataFrame([(1, ITEM), (2, "who wrote Hamlet"), (3, None), (4, "5 6 7 8 9 10 11 12 13"), (None, "another question with enough words to be one at all"), (5, "")], "item_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (2, "who wrote Hamlet"), (3, None), (4, "5 6 7 8 9 10 11 12 13"), (None, "another question with enough words to be one at all"), (5, ""), (6, "12 kg were left"), (7, "wrote")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in contaminated(docs, items).collect()}
-    assert set(got) == {(100, 1), (101, 1), (104, 1), (105, 1), (107, 1), (108, 1), (109, 2), (111, 4), (113, 1)}
+    assert set(got) == {(100, 1), (101, 1), (104, 1), (105, 1), (107, 1), (108, 1), (109, 2), (110, 2), (111, 4), (113, 1), (114, 2)} | {(115, 6), (116, 6)}
     assert {k for k, r in got.items() if r.reparameterised} == {(101, 1), (107, 1), (108, 1)}
     kept = without_contaminated(docs, items)
     assert kept.count() == docs.count() - len({d for d, _ in got}) and kept.columns == docs.columns
