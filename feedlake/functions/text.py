@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Tracking parameters that normalisation drops besides utm_* (fixed values).
 TRACKING = ("fbclid", "gclid", "msclkid")
-#: Words and signs of a reply with substance (fixed values).
+#: Words and signs of a reply with substance, of a promotion and of an alarm (fixed values).
 SUBSTANCE = r"(?i)```|\b(error|exception|stack trace|repro|bug|fix|commit|benchmark|version|workflow update)\b|复现|报错|错误日志|代码|修复|版本|测试结果"
 PROMOTION = r"(?i)\b(airdrop|giveaway|whitelist|presale)\b|空投|加群领|抽奖送"
 ALARM = r"(?i)漏洞|泄露|停服|中断|不兼容|破坏性|\b(vulnerability|CVE-[0-9]|outage|data leak|breaking change)\b"
@@ -82,3 +86,14 @@ def content_hash(text: Column, status: Column) -> Column:
     """Hash of the collapsed text if it is 80 characters or more and not a snippet or failed."""
     n = ws_norm(text)
     return F.when((F.length(n) >= 80) & ~status.isin("snippet", "failed"), sha_id(n))
+
+
+@F.pandas_udf(StringType())
+def nfkc(s: pd.Series) -> pd.Series:
+    """Unicode normal form KC, which Spark has no function for."""
+    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+
+def slug(s: Column) -> Column:
+    """NFKC, trimmed, lower case, white space as a hyphen; other signs stay, so C++ is not C and 4.1 is not 41."""
+    return F.regexp_replace(F.lower(ws_norm(nfkc(s))), " ", "-")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlake.functions.text import slug
+
 
 def change_digest(*parts: Column | str) -> Column:
     """One hash over everything that a verdict depends on; nulls differ from empty strings."""
@@ -45,9 +47,14 @@ def apply_verdicts(candidates: DataFrame, verdicts: DataFrame, monitors: DataFra
 
 
 def event_group_key(monitor: Column, subject: Column, action: Column, version: Column, date: Column, key: Column) -> Column:
-    """One key for each channel, subject, action, version, date and event name; another version or date never merges."""
-    plain = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]", "")
-    return F.substring(F.sha2(F.concat_ws("|", monitor, plain(subject), plain(action), F.coalesce(version, F.lit("unknown")), F.coalesce(date, F.lit("")), plain(key)), 256), 1, 32)
+    """One key for each channel, subject, action, version, date and event name; another subject, version or date never merges.
+
+    Subject, version and name go by slug() and a missing version is unknown; channel, action and date are taken as they are, null apart from empty.
+    """
+    plain = lambda c: slug(F.coalesce(c, F.lit("")))
+    known = F.when(F.coalesce(version, F.lit("")) == "", "unknown").otherwise(version)
+    exact = lambda c: F.coalesce(c, F.lit("\u0000"))
+    return F.substring(F.sha2(F.concat_ws("\u0001", exact(monitor), plain(subject), exact(action), plain(known), exact(date), plain(key)), 256), 1, 32)
 
 
 def clusters(rows: DataFrame) -> DataFrame:

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from feedlake.functions.text import content_hash, normalize_url
+from feedlake.functions.text import content_hash, nfkc, normalize_url
 
 from .components import merge_labels, star_components
 
@@ -89,14 +85,9 @@ def merge_discoveries(articles: DataFrame, groups: DataFrame) -> DataFrame:
     return merged.join(found.hint("merge"), "canonical_id", "left").withColumns({c: F.coalesce(c, none) for c in ("discovery_sources", "discovery_urls", "discovery_authors")})
 
 
-@F.pandas_udf(StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-
 def letters_only(text: Column) -> Column:
     """NFKC, lower case, letters and digits only."""
-    return F.regexp_replace(F.lower(_nfkc(text)), r"[^\p{L}\p{N}]", "")
+    return F.regexp_replace(F.lower(nfkc(text)), r"[^\p{L}\p{N}]", "")
 
 
 def char_shingles(plain: Column, width: int = 32) -> Column:

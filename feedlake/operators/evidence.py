@@ -43,30 +43,91 @@ def quotes_held(evidence: DataFrame, articles: DataFrame) -> DataFrame:
     return rows.withColumn("problem", problem).drop("_again", "_text")
 
 
-def quote_anchors(rows: DataFrame, longest: int = 220, least: int = 60, tail: int = 8, visible: int = 8) -> DataFrame:
-    """Spans (article_id, quote, start, end, text) that cover each text: at most ``longest`` characters, ending after the last sentence end
-    at ``least`` or beyond, a tail shorter than ``tail`` joined to the span before it, spans with fewer than ``visible`` visible characters left out.
-
-    A fold over positions in one native expression per row; nothing is shuffled.
-    """
-    text = F.col("text")
+def _ends(text: Column, longest: int, least: int, tail: int) -> Column:
+    """The ends of the spans of a text, a fold over positions in one native expression."""
 
     def step(ends: Column, _: Column) -> Column:
         at = F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0))
         hard = F.least(F.length(text), at + longest)
         chunk = F.substring(text, at + 1, hard - at)
-        # The greedy prefix runs to the last sentence end that lies ``least`` characters in or further.
-        kept = F.length(F.regexp_extract(chunk, rf"(?s)^(.{{{least},}}(?:[.!?。！？][ \t\r\n]|\n))", 1))
+        # The greedy prefix runs to the last sentence end that lies ``least`` characters in or further; a line end behind a full stop belongs to it.
+        kept = F.length(F.regexp_extract(chunk, rf"(?s)^(.{{{least},}}(?:[.!?。！？][ \t\r\n]|(?<![.!?。！？])\n))", 1))
         end = F.when((hard < F.length(text)) & (kept > 0), at + kept).otherwise(hard)
         end = F.when(F.length(text) - end < tail, F.length(text)).otherwise(end)
         return F.when(at >= F.length(text), ends).otherwise(F.concat(ends, F.array(end)))
 
     turns = F.sequence(F.lit(0), F.ceil(F.length(text) / (least + 1)).cast("int"))
-    ends = F.aggregate(turns, F.array().cast("array<int>"), step)
-    spans = F.transform(F.col("_ends"), lambda e, i: F.struct(F.when(i == 0, 0).otherwise(F.get(F.col("_ends"), i - 1)).alias("start"), e.alias("end")))
-    cut = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text")))
-    seen = F.filter(cut, lambda s: F.length(F.trim(s["text"])) >= visible)
-    return rows.withColumn("_ends", ends).select("article_id", F.posexplode(seen).alias("quote", "s")).select("article_id", (F.col("quote") + 1).alias("quote"), "s.*")
+    return F.aggregate(turns, F.array().cast("array<int>"), step)
+
+
+def _spans(text: Column, ends: Column, begin: Column, visible: int) -> Column:
+    """Spans (start, end, text) between ``ends``, ``begin`` added to their places, those with fewer than ``visible`` visible characters left out."""
+
+    def span(end: Column, i: Column) -> Column:
+        start = F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+        return F.struct((begin + start).alias("start"), (begin + end).alias("end"), F.substring(text, start + 1, end - start).alias("text"))
+
+    return F.filter(F.transform(ends, span), lambda s: F.length(F.trim(s["text"])) >= visible)
+
+
+def quote_anchors(rows: DataFrame, longest: int = 220, least: int = 60, tail: int = 8, visible: int = 8) -> DataFrame:
+    """Spans (article_id, quote, start, end, text) that cover each text: at most ``longest`` characters, ending after the last sentence end
+    that begins at ``least`` or beyond, a tail shorter than ``tail`` joined to the span before it, spans with fewer than ``visible`` visible characters left out. Nothing is shuffled.
+    """
+    ends = rows.withColumn("_ends", _ends(F.col("text"), longest, least, tail))
+    seen = _spans(F.col("text"), F.col("_ends"), F.lit(0), visible)
+    return ends.select("article_id", F.posexplode(seen).alias("quote", "s")).select("article_id", (F.col("quote") + 1).alias("quote"), "s.*")
+
+
+def passage_anchors(rows: DataFrame, longest: int = 220, least: int = 60, tail: int = 8, visible: int = 8) -> DataFrame:
+    """Spans (event_id, article_id, quote_id, start, end, text) of the passages that were selected: rows have event_id, article_id, ``idx`` (the article's place in the event from 0) and ``passages`` (start, text).
+
+    Each passage is cut as by quote_anchors(), places are those in the whole text, and ids ``a<i>:q<j>`` count an article's spans over its passages, in order. Each row is
+    worked on where it lies; nothing is shuffled.
+    """
+    each = F.transform("passages", lambda p: F.struct(p["start"].cast("int").alias("begin"), p["text"].alias("text"), _ends(p["text"], longest, least, tail).alias("ends")))
+    spans = F.flatten(F.transform("_cut", lambda p: _spans(p["text"], p["ends"], p["begin"], visible)))
+    out = rows.withColumn("_cut", each).select("event_id", "article_id", "idx", F.posexplode(spans).alias("j", "s"))
+    return out.select("event_id", "article_id", F.concat(F.lit("a"), F.col("idx") + 1, F.lit(":q"), F.col("j") + 1).alias("quote_id"), "s.*")
+
+
+def resolve_claims(claims: DataFrame, anchors: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Claims (event_id, claim, article_ids, quote_ids) with ``citations`` (article_id, excerpt, in the order of quote_ids) and ``violations``.
+
+    The cited spans' articles and the claim's articles must be the same set (relational division both ways), and no quote or article may be cited twice: repeated_quote, unknown_quote (no such span was offered),
+    article_mismatch, repeated_article, not_in_evidence (an article that the event's evidence lacks).
+    """
+    key = ["event_id", "claim"]
+    quotes = claims.select(*key, F.posexplode("quote_ids").alias("i", "quote_id"))
+    met = quotes.join(anchors.select("event_id", "quote_id", F.col("article_id").alias("of"), "text").hint("merge"), ["event_id", "quote_id"], "left")
+    told = met.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("quote_id").alias("n_quotes"), F.count_if(F.col("of").isNull()).alias("unknown"), F.array_sort(F.collect_set("of")).alias("found"),
+        F.array_sort(F.collect_list(F.when(F.col("of").isNotNull(), F.struct("i", F.col("of").alias("article_id"), F.col("text").alias("excerpt"))))).alias("cited"),
+    )
+    own = claims.select(*key, F.explode("article_ids").alias("article_id"))
+    known = evidence.select("event_id", "article_id", F.lit(True).alias("known")).distinct()
+    ids = own.join(known.hint("merge"), ["event_id", "article_id"], "left").groupBy(*key).agg(F.count(F.lit(1)).alias("n_ids"), F.array_sort(F.collect_set("article_id")).alias("ids"), F.count_if(F.col("known").isNull()).alias("outside"))
+    rows = claims.join(told.hint("merge"), key, "left").join(ids.hint("merge"), key, "left")
+    none = F.array().cast("array<string>")
+    found, wanted = F.coalesce("found", none), F.coalesce("ids", none)
+    rules = {
+        "repeated_quote": F.col("n_quotes") < F.col("n"), "unknown_quote": F.col("unknown") > 0, "article_mismatch": (found != wanted) | (F.size(wanted) != F.size("article_ids")),
+        "repeated_article": F.size(wanted) < F.size("article_ids"), "not_in_evidence": F.col("outside") > 0,
+    }
+    named = F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(name)) for name, broken in rules.items()]))
+    citations = F.transform("cited", lambda c: F.struct(c["article_id"].alias("article_id"), c["excerpt"].alias("excerpt")))
+    return rows.select(*key, citations.alias("citations"), named.alias("violations"))
+
+
+def resolve_evidence(evidence: DataFrame, anchors: DataFrame, passages: DataFrame) -> DataFrame:
+    """Evidence (event_id, pos, article_id, quote_id, excerpt) with ``problem``: foreign_quote if the quoted span is none of the article's, not_read if the excerpt (that of the span, where there is no other)
+    lies in none of the passages that were selected of the article, else null."""
+    spans = anchors.select("event_id", "quote_id", "article_id", F.col("text").alias("_span"))
+    read = passages.select("event_id", "article_id", F.transform("passages", lambda p: ws_norm(p["text"])).alias("_read"))
+    rows = evidence.join(spans.hint("merge"), ["event_id", "quote_id", "article_id"], "left").join(read.hint("merge"), ["event_id", "article_id"], "left")
+    words = ws_norm(F.coalesce("excerpt", "_span"))
+    seen = F.coalesce(F.exists("_read", lambda t: F.contains(t, words)), F.lit(False))
+    return rows.withColumn("problem", F.when(F.col("_span").isNull(), "foreign_quote").when(~seen, "not_read")).drop("_span", "_read")
 
 
 def qualified(evidence: DataFrame, articles: DataFrame) -> DataFrame:
@@ -136,17 +197,19 @@ def urgency(events: DataFrame, evidence: DataFrame) -> DataFrame:
     return rows.withColumn("final_importance", F.when((F.col("importance") == "urgent") & weak, "high").otherwise(F.col("importance"))).drop("_alarm")
 
 
-def claim_downgrade(claims: DataFrame) -> DataFrame:
+def claim_downgrade(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """(event_id, credibility): disputed if any claim is contradicted or disputed was asked, else unverified if any claim is insufficient, else as asked.
 
-    Disputed needs two cited articles of the event; with fewer the assessment is rejected and its credibility null.
+    Disputed needs two articles in the event's evidence, whether or not the claims cite them; with fewer the assessment is rejected and its credibility null.
     """
     sums = claims.groupBy("event_id").agg(
-        F.first("requested").alias("requested"), F.bool_or(F.col("verdict") == "contradicted").alias("against"), F.bool_or(F.col("verdict") == "insufficient").alias("thin"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("article_ids")))).alias("cited"),
+        F.first("requested").alias("requested"), F.bool_or(F.col("verdict") == "contradicted").alias("against"), F.bool_or(F.col("verdict") == "insufficient").alias("thin")
     )
+    cited = evidence.groupBy("event_id").agg(F.countDistinct("article_id").alias("cited"))
+    rows = sums.join(cited.hint("merge"), "event_id", "left")
     against = F.col("against") | (F.col("requested") == "disputed")
-    return sums.select("event_id", F.when(against & (F.col("cited") < 2), F.lit(None)).when(against, "disputed").when(F.col("thin"), "unverified").otherwise(F.col("requested")).alias("credibility"))
+    few = F.coalesce("cited", F.lit(0)) < 2
+    return rows.select("event_id", F.when(against & few, F.lit(None)).when(against, "disputed").when(F.col("thin"), "unverified").otherwise(F.col("requested")).alias("credibility"))
 
 
 def unsupported_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -156,9 +219,11 @@ def unsupported_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def first_party_relation(evidence: DataFrame, subjects: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Adds ``final_role``: a first party keeps its role only if an alias (letters and digits, three or more) of its publisher is in the subject."""
+    """Adds ``final_role``: a first party keeps its role only if an alias (letters and digits, three or more) of its publisher is in the subject; and ``gap``, first_party_unconfirmed where the publisher is
+    known but not so related, else null."""
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     names = aliases.select("publisher_id", plain(F.col("alias")).alias("alias")).where(F.length("alias") >= 3).groupBy("publisher_id").agg(F.collect_set("alias").alias("_names"))
     rows = evidence.join(subjects, "event_id", "left").join(F.broadcast(names), "publisher_id", "left")
     related = F.coalesce(F.exists("_names", lambda n: F.contains(plain(F.col("subject")), n)), F.lit(False))
-    return rows.withColumn("final_role", F.when((F.col("role") == "first_party") & ~related, "unknown").otherwise(F.col("role"))).drop("_names")
+    lost = (F.col("role") == "first_party") & ~related
+    return rows.withColumns({"final_role": F.when(lost, "unknown").otherwise(F.col("role")), "gap": F.when(lost & F.col("publisher_id").isNotNull(), "first_party_unconfirmed")}).drop("_names")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,22 +61,37 @@ def quota_audit(log: DataFrame, check: str, per_day_check: int, per_day: int, pe
 def budget_fold(log: DataFrame, calls: int, tokens: int, share: float = 0.8, stage: Column | None = None) -> DataFrame:
     """Per day: how many requests a budget of calls and tokens admits in order, where screening may use ``share`` of both.
 
-    A request that is too large is refused and a later smaller one may pass, so the day's requests are folded in order, as one
-    native aggregate over an array of (order, screening, need).
+    A request that is too large is refused and a later smaller one may pass, so order matters: days are dealt out and sorted, Spark spilling as it must, and each day's rows stream past a
+    state of three numbers. No day is held whole.
     """
-    kind = F.lit(True) if stage is None else stage
-    rows = log.select(local_day(F.col("at_ms")).alias("day"), F.struct("at_ms", "request_id", kind.alias("screen"), F.coalesce("tokens", "reserved").alias("need")).alias("r"))
-    # One array holds one day's requests of the budget's own size order; the caps end the fold's effect, not its input.
-    days = rows.groupBy("day").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    start = F.struct(F.lit(0).cast("long").alias("calls"), F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("refused"))
-
-    def step(s: Column, r: Column) -> Column:
-        most_calls = F.when(r["screen"], F.lit(int(share * calls))).otherwise(F.lit(calls))
-        most_tokens = F.when(r["screen"], F.lit(int(share * tokens))).otherwise(F.lit(tokens))
-        ok = (s["calls"] + 1 <= most_calls) & (s["tokens"] + r["need"] <= most_tokens)
-        return F.struct((s["calls"] + ok.cast("long")).alias("calls"), (s["tokens"] + F.when(ok, r["need"]).otherwise(F.lit(0))).cast("long").alias("tokens"), (s["refused"] + (~ok).cast("long")).alias("refused"))
-
-    return days.select("day", F.aggregate("rs", start, step).alias("s")).select("day", F.col("s.calls").alias("admitted"), F.col("s.tokens").alias("tokens"), F.col("s.refused").alias("refused"))
+    kind = F.lit(True) if stage is None else F.coalesce(stage, F.lit(False))
+    rows = log.select(local_day(F.col("at_ms")).alias("day"), "at_ms", "request_id", kind.alias("screen"), F.coalesce("tokens", "reserved", F.lit(0)).cast("long").alias("need"))
+    most = {True: (int(share * calls), int(share * tokens)), False: (calls, tokens)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        day, state = None, [0, 0, 0]
+        for batch in batches:
+            out = []
+            for d, screen, need in zip(*(batch.column(c).to_pylist() for c in ("day", "screen", "need")), strict=True):
+                if d != day:
+                    if day is not None:
+                        out.append((day, *state))
+                    day, state = d, [0, 0, 0]
+                if state[0] < most[screen][0] and state[1] + need <= most[screen][1]:
+                    state[0] += 1
+                    state[1] += need
+                else:
+                    state[2] += 1
+            if out:
+                yield packed(out)
+        if day is not None:
+            yield packed([(day, *state)])
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["day", "admitted", "tokens", "refused"])
+
+    days = rows.where(F.col("day").isNotNull()).repartition("day").sortWithinPartitions("day", "at_ms", "request_id").select("day", "screen", "need")
+    return days.mapInArrow(run, "day string, admitted long, tokens long, refused long")
 
 
 def high_water(runs: DataFrame, fingerprints: DataFrame, overlap_ms: int = 120_000) -> DataFrame:

@@ -209,10 +209,13 @@ def packing(spark, sf):
     return ranking.packed(ranking.batches(sampled(spark, sf), 5)).select("monitor_id", "batch", "article_id", F.col("used").cast("long").alias("used"))
 
 
-@query("r05_rotation")
+@query("r05_rotation", """, r AS (SELECT 'g' || (doc_id // 40) AS group_id, article_id, collected_at, doc_id % 3 = 0 AS reviewed FROM articles),
+i AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY collected_at, article_id) - 1 AS i, count(*) OVER (PARTITION BY group_id) AS n, row_number() OVER (PARTITION BY group_id, reviewed ORDER BY collected_at DESC, article_id) AS k FROM r),
+t AS (SELECT *, CASE WHEN NOT reviewed AND k <= 5 THEN 0 WHEN reviewed AND k <= 3 THEN 1 ELSE 2 END AS tier FROM i),
+p AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY tier, CASE WHEN tier < 2 THEN k ELSE (i - 7 % n + n) % n END, article_id) AS pick FROM t) SELECT group_id, article_id, reviewed, pick FROM p WHERE pick <= 10""")
 def rotation(spark, sf):
     rows = articles(spark, sf).selectExpr("concat('g', doc_id div 40) AS group_id", "article_id", "collected_at", "doc_id % 3 = 0 AS reviewed")
-    return ranking.evidence_rotation(rows, "group_id", offset=7)
+    return ranking.evidence_rotation(rows, "group_id", offset=7).select("group_id", "article_id", "reviewed", "pick")
 
 
 @query("r09_passages", """, t AS (SELECT article_id, text, list_distinct(regexp_extract_all(lower(title), '[a-z0-9._-]{3,}|[\\x{4e00}-\\x{9fff}]{2,}')[1:35]) AS terms FROM articles),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedlake.functions.text import ALARM, content_hash
-from feedlake.operators import candidates, evidence as ev, events as evs, quality, ranking
-from feedlake.sources.tables import NOW, PUBLISHERS, accounts, articles, events, evidence, monitors
+from feedlake.operators import candidates, evidence as ev, events as evs, metrics, quality, ranking
+from feedlake.sources.tables import NOW, PUBLISHERS, accounts, articles, events, evidence, monitors, table
 
 from .article_queries import judged
 from .oracle_views import oracle
@@ -201,6 +201,22 @@ def score(spark, sf):
     return out.select("event_id", *[F.round(c, 6).alias(c) for c in ("freshness", "engagement", "diversity")], "score")
 
 
+@query("a06_growth_score", FULL + f""", sm AS (SELECT user_id, event_id AS sample_id, epoch_us(ts) // 1000 AS sampled_at, CAST(floor(coalesce(value, 0)) AS BIGINT) AS likes FROM events WHERE event_type IN ('view', 'click')),
+d AS (SELECT user_id, greatest(likes - lag(likes) OVER (PARTITION BY user_id ORDER BY sampled_at, sample_id), 0) AS step FROM sm), gr AS (SELECT user_id, CAST(coalesce(sum(step), 0) AS BIGINT) AS growth FROM d GROUP BY 1),
+eg AS (SELECT event_id, CAST(coalesce(sum(growth), 0) AS BIGINT) AS g FROM he LEFT JOIN gr ON gr.user_id = he.doc_id GROUP BY 1),
+s AS (SELECT event_id, max(published_at) AS newest, max(least(1.0, log10(1.0 + coalesce(likes, 0) + 3 * replies + 4 * reposts) / 4)) AS engagement, count(DISTINCT group_key) AS k FROM he GROUP BY 1),
+q AS (SELECT event_id, relevance, CASE WHEN newest > 0 THEN greatest(0.0, 1 - greatest(0.0, ({NOW} - newest) / 86400000.0) / 7) ELSE 0.0 END AS freshness, engagement, least(1.0, k / 3.0) AS diversity, CASE WHEN g > 0 THEN least(1.0, log10(1.0 + g) / 3) ELSE 0.0 END AS growth FROM events_v JOIN s USING (event_id) JOIN eg USING (event_id))
+SELECT event_id, round(growth, 6) AS growth, CAST(greatest(0, least(100, round(0.4 * relevance + 20 * freshness + 20 * engagement + 10 * diversity + 10 * growth))) AS BIGINT) AS score FROM q""")
+def growth_score(spark, sf):
+    """The score with the growth that the samples of an event's articles show."""
+    samples = table(spark, sf, "events").where("event_type IN ('view', 'click')").selectExpr("user_id AS article_id", "event_id AS sample_id", "unix_micros(CAST(ts AS timestamp)) div 1000 AS sampled_at", "CAST(floor(coalesce(value, 0)) AS BIGINT) AS likes")
+    grown = metrics.metric_growth(samples).select(F.col("article_id").alias("doc_id"), "growth")
+    links = evidence(spark, sf).select("event_id", "article_id").join(articles(spark, sf).select("article_id", "doc_id"), "article_id").join(grown.hint("merge"), "doc_id", "left")
+    per_event = links.groupBy("event_id").agg(F.coalesce(F.sum("growth"), F.lit(0)).alias("grown"))
+    out = evs.hotspot_score(hydrated(spark, sf).join(per_event.hint("merge"), "event_id", "left"), NOW, F.coalesce("grown", F.lit(0)))
+    return out.select("event_id", F.round("growth", 6).alias("growth"), "score")
+
+
 @query("a07_evidence_group", FULL + " SELECT article_id, group_key FROM ga")
 def groups(spark, sf):
     return full_articles(spark, sf).select("article_id", "group_key")
@@ -298,16 +314,63 @@ def gap_flags(spark, sf):
     return flags.select("event_id", F.array_join(F.slice(named, 1, 6), ",").alias("flags"))
 
 
-@query("v04_quote_anchors")
-def anchors(spark, sf):
-    return ev.quote_anchors(articles(spark, sf).select("article_id", "text"))
+READ = """, t AS (SELECT e.event_id, e.pos, a.article_id, text, list_distinct(regexp_extract_all(lower(v.title || ' ' || v.summary), '[a-z0-9._-]{3,}|[\\x{4e00}-\\x{9fff}]{2,}')[1:35]) AS terms FROM evidence e JOIN articles a USING (article_id) JOIN events_v v ON v.event_id = e.event_id),
+b AS (SELECT event_id, pos, article_id, CAST(s AS BIGINT) AS start, substr(text, CAST(s + 1 AS BIGINT), 750) AS block, terms FROM t, LATERAL (SELECT unnest(range(0, greatest(length(text), 1), 750)) AS s) x),
+c AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY 3 * len(list_filter(terms, lambda x: contains(lower(block), x))) + CASE WHEN start = 0 THEN 1 ELSE 0 END DESC, start) AS r FROM b),
+pass AS MATERIALIZED (SELECT event_id, pos, article_id, start, block FROM c WHERE r <= 5)"""
+ANCHORS = READ + """, sp(event_id, pos, article_id, start, block, fro, till) AS (SELECT event_id, pos, article_id, start, block, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM pass UNION ALL
+  SELECT event_id, pos, article_id, start, block, till, CASE WHEN length(block) - cut < 8 THEN length(block) ELSE cut END FROM (
+    SELECT *, CASE WHEN till + 220 < length(block) THEN coalesce(till + list_max(list_transform(range(60, 220), lambda i: CASE
+        WHEN substr(block, till + i + 1, 1) IN ('.', '!', '?', '。', '！', '？') AND i < 219 AND substr(block, till + i + 2, 1) IN (' ', chr(9), chr(10), chr(13)) THEN i + 2
+        WHEN substr(block, till + i + 1, 1) = chr(10) AND NOT substr(block, till + i, 1) IN ('.', '!', '?', '。', '！', '？') THEN i + 1 END)), till + 220) ELSE length(block) END AS cut FROM sp WHERE till < length(block)) z),
+anchors AS MATERIALIZED (SELECT event_id, pos, article_id, start + fro AS start, start + till AS "end", substr(block, fro + 1, till - fro) AS text,
+  'a' || (pos + 1) || ':q' || row_number() OVER (PARTITION BY article_id ORDER BY start, fro) AS quote_id FROM sp WHERE till > 0 AND length(trim(substr(block, fro + 1, till - fro), ' ')) >= 8)"""
+
 
+def read_passages(spark, sf):
+    """What is selected of each event's articles: the best blocks by the words of the event's title and summary."""
+    rows = evidence(spark, sf).select("event_id", F.col("pos").alias("idx"), "article_id").join(articles(spark, sf).select("article_id", "text").hint("merge"), "article_id")
+    rows = rows.join(events(spark, sf).select("event_id", F.concat_ws(" ", "title", "summary").alias("asked")).hint("merge"), "event_id")
+    return ranking.passages(rows, F.col("asked"), 4000).drop("text", "asked")
 
-@query("v05_anchor_resolution")
+
+@query("v04_quote_anchors", ANCHORS + ' SELECT event_id, article_id, quote_id, start, "end", sha256(text) AS text_sha FROM anchors')
+def anchors(spark, sf):
+    out = ev.passage_anchors(read_passages(spark, sf))
+    return out.select("event_id", "article_id", "quote_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.sha2("text", 256).alias("text_sha"))
+
+
+def cited_claims(spark, sf):
+    """Claims over neighbouring evidence, with planted violations by the number of the event."""
+    g = F.expr("CAST(substring(event_id, 2) AS BIGINT)")
+    rows = evidence(spark, sf).where("pos < 4").select("event_id", (F.col("pos") % 2).cast("int").alias("claim"), "pos", "article_id").withColumn("g", g)
+    quote = F.concat(F.lit("a"), F.col("pos") + 1, F.lit(":q"), (F.col("g") % 3) + 1)
+    rows = rows.groupBy("event_id", "g", "claim").agg(F.array_sort(F.collect_list(F.struct("pos", "article_id", quote.alias("q")))).alias("l"))
+    ids, quotes = F.transform("l", lambda x: x["article_id"]), F.transform("l", lambda x: x["q"])
+    ids = F.when(F.col("g") % 7 == 1, F.slice(ids, 1, 1)).when(F.col("g") % 7 == 2, F.concat(ids, F.slice(ids, 1, 1))).when(F.col("g") % 7 == 3, F.concat(ids, F.array(F.lit("elsewhere")))).otherwise(ids)
+    quotes = F.when(F.col("g") % 5 == 1, F.concat(quotes, F.slice(quotes, 1, 1))).when(F.col("g") % 5 == 2, F.concat(quotes, F.array(F.lit("a9:q1")))).otherwise(quotes)
+    return rows.select("event_id", "claim", ids.alias("article_ids"), quotes.alias("quote_ids"))
+
+
+@query("v05_anchor_resolution", ANCHORS + """, l AS (SELECT event_id, CAST(substr(event_id, 2) AS BIGINT) AS g, pos % 2 AS claim, list(article_id ORDER BY pos) AS ids, list('a' || (pos + 1) || ':q' || (CAST(substr(event_id, 2) AS BIGINT) % 3 + 1) ORDER BY pos) AS qs FROM evidence WHERE pos < 4 GROUP BY 1, 2, 3),
+k AS (SELECT event_id, claim, CASE g % 7 WHEN 1 THEN ids[1:1] WHEN 2 THEN list_append(ids, ids[1]) WHEN 3 THEN list_append(ids, 'elsewhere') ELSE ids END AS ids, CASE g % 5 WHEN 1 THEN list_append(qs, qs[1]) WHEN 2 THEN list_append(qs, 'a9:q1') ELSE qs END AS qs FROM l),
+m AS (SELECT k.event_id, k.claim, count(*) AS n, count(DISTINCT u.q) AS nq, count(*) FILTER (WHERE a.article_id IS NULL) AS unknown, list_sort(list_distinct(list(a.article_id) FILTER (WHERE a.article_id IS NOT NULL))) AS found, string_agg(a.article_id || '=' || a.text, ';' ORDER BY u.i) AS cited
+  FROM k, LATERAL (SELECT unnest(qs) AS q, generate_subscripts(qs, 1) AS i) u LEFT JOIN anchors a ON a.event_id = k.event_id AND a.quote_id = u.q GROUP BY 1, 2)
+SELECT event_id, CAST(claim AS INTEGER) AS claim, sha256(coalesce(cited, '')) AS cited_sha, array_to_string(list_filter([CASE WHEN nq < n THEN 'repeated_quote' END, CASE WHEN unknown > 0 THEN 'unknown_quote' END, CASE WHEN coalesce(found, CAST([] AS VARCHAR[])) <> list_sort(list_distinct(ids)) OR len(list_distinct(ids)) <> len(ids) THEN 'article_mismatch' END,
+  CASE WHEN len(list_distinct(ids)) < len(ids) THEN 'repeated_article' END, CASE WHEN list_contains(ids, 'elsewhere') THEN 'not_in_evidence' END], lambda x: x IS NOT NULL), ',') AS violations FROM k JOIN m USING (event_id, claim)""")
 def anchor_resolution(spark, sf):
-    """Each event's cited anchors (the second of each article) resolved to their text; the article must be the event's own."""
-    spans = ev.quote_anchors(articles(spark, sf).select("article_id", "text")).where("quote = 2")
-    return evidence(spark, sf).select("event_id", "article_id", "role").join(spans.hint("merge"), "article_id").select("event_id", "article_id", "role", "start", "end", F.length("text").alias("n"))
+    out = ev.resolve_claims(cited_claims(spark, sf), ev.passage_anchors(read_passages(spark, sf)), evidence(spark, sf))
+    cited = F.array_join(F.transform("citations", lambda c: F.concat(c["article_id"], F.lit("="), c["excerpt"])), ";")
+    return out.select("event_id", "claim", F.sha2(cited, 256).alias("cited_sha"), F.array_join("violations", ",").alias("violations"))
+
+
+@query("v06_read_excerpts", ANCHORS + """, q AS (SELECT *, 'a' || (pos + CASE WHEN pos % 5 = 2 THEN 2 ELSE 1 END) || ':q' || (pos % 2 + 1) AS quote_id FROM evidence)
+SELECT q.event_id, q.pos, CASE WHEN a.text IS NULL THEN 'foreign_quote' WHEN NOT EXISTS (SELECT 1 FROM pass p WHERE p.article_id = q.article_id AND contains(trim(regexp_replace(p.block, '[ \\t\\r\\n]+', ' ', 'g'), ' '), trim(regexp_replace(q.excerpt, '[ \\t\\r\\n]+', ' ', 'g'), ' '))) THEN 'not_read' END AS problem
+FROM q LEFT JOIN anchors a ON a.event_id = q.event_id AND a.article_id = q.article_id AND a.quote_id = q.quote_id""")
+def read_excerpts(spark, sf):
+    quote = F.concat(F.lit("a"), F.col("pos") + F.when(F.col("pos") % 5 == 2, 2).otherwise(1), F.lit(":q"), F.col("pos") % 2 + 1)
+    read = read_passages(spark, sf)
+    return ev.resolve_evidence(evidence(spark, sf).withColumn("quote_id", quote), ev.passage_anchors(read), read).select("event_id", "pos", "problem")
 
 
 def claims(spark, sf):
@@ -320,9 +383,10 @@ def claims(spark, sf):
 CLAIMS = FULL + """, claims AS (SELECT event_id, doc_id % 2 AS claim, any_value(e.credibility) AS requested, list(article_id) AS ids, ['supported', 'contradicted', 'insufficient'][max(doc_id) % 3 + 1] AS verdict FROM he JOIN events_v e USING (event_id) GROUP BY 1, 2)"""
 
 
-@query("v07_claim_downgrade", CLAIMS + " SELECT event_id, CASE WHEN bool_or(verdict = 'contradicted') OR any_value(requested) = 'disputed' THEN CASE WHEN len(list_distinct(flatten(list(ids)))) >= 2 THEN 'disputed' END WHEN bool_or(verdict = 'insufficient') THEN 'unverified' ELSE any_value(requested) END AS credibility FROM claims GROUP BY 1")
+@query("v07_claim_downgrade", CLAIMS + " SELECT event_id, CASE WHEN bool_or(verdict = 'contradicted') OR any_value(requested) = 'disputed' THEN CASE WHEN any_value(n) >= 2 THEN 'disputed' END WHEN bool_or(verdict = 'insufficient') THEN 'unverified' ELSE any_value(requested) END AS credibility FROM claims LEFT JOIN (SELECT event_id, count(DISTINCT article_id) AS n FROM evidence WHERE role NOT IN ('repost', 'unknown') AND CAST(substr(event_id, 2) AS BIGINT) % 3 <> pos GROUP BY 1) USING (event_id) GROUP BY 1")
 def downgrade(spark, sf):
-    return ev.claim_downgrade(claims(spark, sf))
+    cited = evidence(spark, sf).where("role NOT IN ('repost', 'unknown') AND CAST(substring(event_id, 2) AS BIGINT) % 3 <> pos")
+    return ev.claim_downgrade(claims(spark, sf), cited)
 
 
 @query("v06_unsupported_claims", CLAIMS + " SELECT c.event_id, c.claim, c.a AS article_id FROM (SELECT event_id, claim, unnest(ids) AS a FROM claims) c WHERE NOT EXISTS (SELECT 1 FROM evidence e WHERE e.event_id = c.event_id AND e.article_id = c.a AND e.role <> 'repost')")
@@ -332,25 +396,26 @@ def unsupported(spark, sf):
 
 @query("v08_first_party", FULL + """, al(publisher_id, alias) AS (VALUES ('p1', 'Event 1'), ('p3', 'e-v-e'), ('p4', 'zz'), ('p6', 'vent 2')),
 s AS (SELECT event_id, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS subject FROM events_v)
-SELECT he.event_id, he.article_id, CASE WHEN role = 'first_party' AND NOT EXISTS (SELECT 1 FROM al WHERE al.publisher_id = he.publisher_id AND length(regexp_replace(lower(alias), '[^a-z0-9]', '', 'g')) >= 3 AND contains(s.subject, regexp_replace(lower(alias), '[^a-z0-9]', '', 'g'))) THEN 'unknown' ELSE role END AS final_role
+SELECT he.event_id, he.article_id, CASE WHEN role = 'first_party' AND NOT EXISTS (SELECT 1 FROM al WHERE al.publisher_id = he.publisher_id AND length(regexp_replace(lower(alias), '[^a-z0-9]', '', 'g')) >= 3 AND contains(s.subject, regexp_replace(lower(alias), '[^a-z0-9]', '', 'g'))) THEN 'unknown' ELSE role END AS final_role,
+  CASE WHEN role = 'first_party' AND publisher_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM al WHERE al.publisher_id = he.publisher_id AND length(regexp_replace(lower(alias), '[^a-z0-9]', '', 'g')) >= 3 AND contains(s.subject, regexp_replace(lower(alias), '[^a-z0-9]', '', 'g'))) THEN 'first_party_unconfirmed' END AS gap
 FROM he JOIN s USING (event_id)""")
 def first_party(spark, sf):
     rows = evidence(spark, sf).join(full_articles(spark, sf).select("article_id", "publisher_id"), "article_id")
     aliases = spark.createDataFrame([("p1", "Event 1"), ("p3", "e-v-e"), ("p4", "zz"), ("p6", "vent 2")], "publisher_id string, alias string")
-    return ev.first_party_relation(rows, events(spark, sf).select("event_id", F.col("title").alias("subject")), aliases).select("event_id", "article_id", "final_role")
+    return ev.first_party_relation(rows, events(spark, sf).select("event_id", F.col("title").alias("subject")), aliases).select("event_id", "article_id", "final_role", "gap")
 
 
 def verdicts(spark, sf):
     return articles(spark, sf).select(
         "article_id", "monitor_id", "doc_id", F.expr("concat('b', doc_id div 4) AS batch"), F.expr("IF(doc_id % 3 = 0, 'irrelevant', IF(doc_id % 31 = 0, 'maybe', 'relevant')) AS decision"), F.expr("doc_id * 37 % 104 AS relevance"),
-        F.expr("doc_id * 53 % 101 AS value"), F.expr("IF(doc_id % 8 = 0, '', concat('subject ', doc_id % 9)) AS subject"), F.expr("IF(doc_id % 10 = 0, NULL, 'releases') AS action"),
-        F.expr("CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN '2024-02-30' WHEN doc_id % 11 = 0 THEN '2099-01-01' ELSE '2024-01-15' END AS event_date"), F.expr("concat('v', doc_id % 2) AS version"), F.expr("concat('Key-', doc_id % 5) AS event_key"),
+        F.expr("doc_id * 53 % 101 AS value"), F.expr("IF(doc_id % 8 = 0, '', element_at(array('Go', 'C++', 'C', ' c++ ', 'Tool  4.1', 'tool 4.1', 'Tool 41', 'GO', 'tool-41'), CAST(doc_id % 9 + 1 AS INT))) AS subject"), F.expr("IF(doc_id % 10 = 0, NULL, IF(doc_id % 4 = 1, 'Releases', 'releases')) AS action"),
+        F.expr("CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN '2024-02-30' WHEN doc_id % 11 = 0 THEN '2099-01-01' ELSE '2024-01-15' END AS event_date"), F.expr("element_at(array('V2', 'v2', '4.1', '41', '', NULL), CAST(doc_id % 6 + 1 AS INT)) AS version"), F.expr("concat('Key-', doc_id % 5) AS event_key"),
     )
 
 
 VERDICTS = """, verdicts AS (SELECT article_id, monitor_id, doc_id, 'b' || (doc_id // 4) AS batch, CASE WHEN doc_id % 3 = 0 THEN 'irrelevant' WHEN doc_id % 31 = 0 THEN 'maybe' ELSE 'relevant' END AS decision, doc_id * 37 % 104 AS relevance, doc_id * 53 % 101 AS value,
-  CASE WHEN doc_id % 8 = 0 THEN '' ELSE 'subject ' || (doc_id % 9) END AS subject, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE 'releases' END AS action,
-  CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN '2024-02-30' WHEN doc_id % 11 = 0 THEN '2099-01-01' ELSE '2024-01-15' END AS event_date, 'v' || (doc_id % 2) AS version, 'Key-' || (doc_id % 5) AS event_key, source, collected_at FROM articles)"""
+  CASE WHEN doc_id % 8 = 0 THEN '' ELSE ['Go', 'C++', 'C', ' c++ ', 'Tool  4.1', 'tool 4.1', 'Tool 41', 'GO', 'tool-41'][doc_id % 9 + 1] END AS subject, CASE WHEN doc_id % 10 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 'Releases' ELSE 'releases' END AS action,
+  CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN '2024-02-30' WHEN doc_id % 11 = 0 THEN '2099-01-01' ELSE '2024-01-15' END AS event_date, ['V2', 'v2', '4.1', '41', '', NULL][doc_id % 6 + 1] AS version, 'Key-' || (doc_id % 5) AS event_key, source, collected_at FROM articles)"""
 
 
 @query("v01_constraints", VERDICTS + f""" SELECT article_id, array_to_string(list_filter([CASE WHEN decision NOT IN ('relevant', 'irrelevant') THEN 'decision' END, CASE WHEN relevance NOT BETWEEN 0 AND 100 THEN 'relevance' END, CASE WHEN decision = 'relevant' AND trim(subject) = '' THEN 'subject' END,
@@ -392,7 +457,8 @@ def verdicts_applied(spark, sf):
     return candidates.apply_verdicts(rows, v.withColumn("digest", F.when(F.col("doc_id") % 4 == 0, "d0").otherwise("d1")), monitors(spark))
 
 
-KEYED = VERDICTS + """, keyed AS (SELECT *, substr(sha256(monitor_id || '|' || regexp_replace(lower(subject), '[^a-z0-9]', '', 'g') || '|' || regexp_replace(lower(coalesce(action, '')), '[^a-z0-9]', '', 'g') || '|' || version || '|' || coalesce(event_date, '') || '|' || regexp_replace(lower(event_key), '[^a-z0-9]', '', 'g')), 1, 32) AS group_key FROM verdicts WHERE decision = 'relevant')"""
+SLUG = "replace(lower(trim(regexp_replace({}, '[ \\t\\r\\n]+', ' ', 'g'), ' ')), ' ', '-')"
+KEYED = VERDICTS + f""", keyed AS (SELECT *, substr(sha256(concat_ws(chr(1), monitor_id, {SLUG.format("coalesce(subject, '')")}, coalesce(action, chr(0)), {SLUG.format("CASE WHEN coalesce(version, '') = '' THEN 'unknown' ELSE version END")}, coalesce(event_date, chr(0)), {SLUG.format("event_key")})), 1, 32) AS group_key FROM verdicts WHERE decision = 'relevant')"""
 
 
 def keyed(spark, sf):

@@ -43,7 +43,11 @@ def quota(spark, sf):
     return metrics.quota_audit(usage(spark, sf), "click", 6, 30, 700)
 
 
-@query("o07_budget_fold")
+@query("o07_budget_fold", """, q AS MATERIALIZED (SELECT day, category <> 'purchase' AS screen, coalesce(tokens, reserved) AS need, row_number() OVER (PARTITION BY day ORDER BY at_ms, request_id) AS k FROM usage_v),
+r(day, k, admitted, tokens, refused) AS (SELECT DISTINCT day, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM q UNION ALL
+  SELECT day, nk, admitted + CAST(ok AS BIGINT), tokens + CASE WHEN ok THEN need ELSE 0 END, refused + CAST(NOT ok AS BIGINT)
+  FROM (SELECT r.*, q.need, q.k AS nk, r.admitted < CASE WHEN q.screen THEN 48 ELSE 60 END AND r.tokens + q.need <= CASE WHEN q.screen THEN 16000 ELSE 20000 END AS ok FROM r JOIN q ON q.day = r.day AND q.k = r.k + 1) z)
+SELECT day, arg_max(admitted, k) AS admitted, arg_max(tokens, k) AS tokens, arg_max(refused, k) AS refused FROM r GROUP BY 1""")
 def budget(spark, sf):
     return metrics.budget_fold(usage(spark, sf), 60, 20_000, stage=F.col("category") != "purchase")
 
