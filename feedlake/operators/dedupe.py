@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake.functions.text import content_hash, nfkc, normalize_url
+from feedlake.sources.scratch import written
 
 from .components import merge_labels, star_components
 
@@ -99,32 +100,44 @@ def char_shingles(plain: Column, width: int = 32) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * width)))))
 
 
-def near_duplicates(rows: DataFrame, least_chars: int = 500, width: int = 32, length_ratio: float = 0.7, share: float = 0.9) -> DataFrame:
-    """Pairs (a, b), a < b, of full texts whose distinct ``width``-character shingles overlap by ``share`` of the smaller set.
+def near_duplicates(rows: DataFrame, least_chars: int = 500, width: int = 32, length_ratio: float = 0.7, share: float = 0.9, hot: int = 1000, salts: int = 16) -> DataFrame:
+    """Pairs (a, b), a < b, of full texts whose distinct ``width``-unit pieces overlap by ``share`` of the smaller set, lengths within ``length_ratio``.
 
-    Equal normalised texts are one row (the smallest id) for the join. A set-similarity join: rarest shingles first, only the prefix that a match must touch is
-    joined, and candidates are verified on whole sets.
+    Equal normalised texts are one row (the smallest id) for the join; each other one is paired with that. The overlap is measured against the smaller set, so this is a containment join:
+    sets are dealt to classes of size (steps of a quarter), and a set is looked up in the classes of the smaller sets that exist among texts of fitting length, each with the prefix of its
+    pieces, rare ones first, of which one must be common with any set there. A pair whose common piece stands so late in either set that the rest cannot suffice is left out; pieces in
+    more than ``hot`` sets are spread over salts. Candidates are verified on whole sets. Ties in size go both ways, the class of each is that of the other or a smaller one.
     """
     full = rows.where(F.col("content_status") == "full").select("article_id", letters_only(F.col("text")).alias("plain")).where(F.length("plain") >= least_chars)
-    one = full.groupBy(F.sha2("plain", 256).alias("h")).agg(F.min("article_id").alias("id"), F.first("plain").alias("plain"), F.collect_list("article_id").alias("ids"))
-    # UTF-16 units, cut from the encoded bytes: a cut of a string would count characters from its start each time.
-    units = F.encode("plain", "UTF-16BE")
-    n = F.length("units") / 2
-    cuts = F.transform(F.sequence(F.lit(0), F.col("n") - width), lambda i: F.xxhash64(F.substring(F.col("units"), 2 * i + 1, F.lit(2 * width))))
-    sets = one.select("id", units.alias("units")).withColumn("n", n.cast("int")).select("id", "n", F.array_distinct(cuts).alias("s"))
+    plain = written(full.withColumn("h", F.sha2("plain", 256)), "plain")
+    first = plain.groupBy("h").agg(F.min("article_id").alias("id"))
+    copies = plain.select("h", "article_id").join(first.hint("merge"), "h").where(F.col("article_id") != F.col("id")).select(F.col("id").alias("a"), F.col("article_id").alias("b"))
+    units = (F.length(F.encode("plain", "UTF-16BE")) / 2).cast("int")
+    one = plain.join(first.select(F.col("id").alias("article_id")).hint("merge"), "article_id", "left_semi").dropDuplicates(["article_id"])
+    sets = written(one.select(F.col("article_id").alias("id"), units.alias("n"), char_shingles(F.col("plain"), width).alias("s")).where(F.size("s") > 0), "sets")
+    kind = lambda size: F.floor(F.log(size) / F.log(F.lit(1.25))).cast("int")
     each = sets.select("id", "n", F.size("s").alias("k"), F.explode("s").alias("t"))
     common = each.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     shared = each.join(common.hint("merge"), "t").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "t")))
-    # Shingles that no other text has come first in the order, so they use up the prefix.
     own = shared.groupBy("id").agg(F.count(F.lit(1)).alias("m"))
-    prefix = shared.join(own.hint("merge"), "id").where(F.col("r") + (F.col("k") - F.col("m")) <= F.col("k") - F.ceil(share * F.col("k")) + 1)
-    a = prefix.select(F.col("id").alias("ida"), F.col("n").alias("na"), F.col("k").alias("ka"), "t")
-    b = shared.select(F.col("id").alias("idb"), F.col("n").alias("nb"), F.col("k").alias("kb"), "t")
-    smaller = (F.col("ida") != F.col("idb")) & ((F.col("ka") < F.col("kb")) | ((F.col("ka") == F.col("kb"))))
+    # Pieces that no other text has come first in the order, so they use up the prefix: ``i`` is a piece's place in it, from 1.
+    placed = written(shared.join(own.hint("merge"), "id").select("id", "n", "k", "t", "df", (F.col("r") + F.col("k") - F.col("m")).alias("i")), "pieces")
+    need = F.ceil(share * F.col("k"))
+    small = placed.where(F.col("i") <= F.col("k") - need + 1).select(kind(F.col("k")).alias("c"), "t", F.col("id").alias("ida"), F.col("n").alias("na"), F.col("k").alias("ka"), F.col("i").alias("ia"), "df")
+    # The classes that exist, with the lengths of their texts: logarithmically many rows.
+    classes = sets.groupBy(kind(F.size("s")).alias("c")).agg(F.min(F.size("s")).alias("least_k"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    fits = (F.col("c") <= kind(F.col("k"))) & (F.col("most_n") >= length_ratio * F.col("n")) & (length_ratio * F.col("least_n") <= F.col("n"))
+    offered = placed.join(F.broadcast(classes), fits).where(F.col("i") <= F.col("k") - F.ceil(share * F.col("least_k")) + 1)
+    large = offered.select("c", "t", F.col("id").alias("idb"), F.col("n").alias("nb"), F.col("k").alias("kb"), F.col("i").alias("ib"), "df")
+    spread = F.when(F.col("df") > hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    small = small.withColumn("salt", F.when(F.col("df") > hot, F.pmod(F.xxhash64("ida"), F.lit(salts)).cast("int")).otherwise(0)).drop("df")
+    large = large.withColumn("salt", F.explode(spread)).drop("df")
+    smaller = (F.col("ka") < F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("ida") < F.col("idb")))
     close = F.least("na", "nb") >= length_ratio * F.greatest("na", "nb")
-    pairs = a.join(b.hint("merge"), "t").where(smaller & close).select("ida", "idb").distinct()
+    # At most min(places before) pieces are common so far, and no more than what is left of either can follow.
+    most = F.least("ia", "ib") + F.least(F.col("ka") - F.col("ia"), F.col("kb") - F.col("ib"))
+    left = most >= F.ceil(share * F.col("ka"))
+    pairs = small.join(large.hint("merge"), ["c", "t", "salt"]).where(smaller & close & left).select("ida", "idb").distinct()
     sa, sb = sets.select(F.col("id").alias("ida"), F.col("s").alias("sa")), sets.select(F.col("id").alias("idb"), F.col("s").alias("sb"))
-    found = pairs.join(sa.hint("merge"), "ida").join(sb.hint("merge"), "idb").where(F.size(F.array_intersect("sa", "sb")) >= share * F.least(F.size("sa"), F.size("sb")))
-    out = found.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
-    copies = one.select(F.col("id").alias("a"), F.explode("ids").alias("b")).where("a < b")
-    return out.unionByName(copies).distinct()
+    found = pairs.join(sa.hint("merge"), "ida").join(sb.hint("merge"), "idb").where(F.size(F.array_intersect("sa", "sb")) >= share * F.size("sa"))
+    return found.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).unionByName(copies).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions.text import PROMOTION, host_of, substantive, term_list, without_links
+from feedlake.sources.scratch import written
 
 #: Likes, reposts and replies of the fixed modes (fixed values).
 MODES = {"strict": (50, 10, 15), "standard": (10, 3, 5)}
@@ -29,16 +30,47 @@ def channel_terms(monitors: DataFrame) -> DataFrame:
     return monitors.select("monitor_id", F.posexplode(term_list(F.col("keywords"), F.col("aliases"))).alias("pos", "term"))
 
 
-def match_channels(articles: DataFrame, monitors: DataFrame, start: int, end: int) -> DataFrame:
-    """Pairs of an article and a channel: any term is in the text, no exclude is, it is no repost and its time is in range.
+def match_channels(articles: DataFrame, monitors: DataFrame, start: int, end: int, inline_terms: int = 200, gram: int = 3) -> DataFrame:
+    """Pairs (article_id, monitor_id): any term is in the text, no exclude is, it is no repost and its time is in range.
 
-    Channels are a small dimension: its terms travel as arrays in one broadcast row each, so each text is tested where it
-    lies and articles are not shuffled.
+    Up to ``inline_terms`` terms in all, counted first, travel as literals of one expression: no join. Beyond that each term is indexed by its rarest piece of ``gram`` characters (by the number of terms
+    that have it; a shorter term by itself): the pieces of a text fetch candidate terms in a hash join, and only those are looked for in the text, which comes back by its id. So the work grows with the
+    texts and the hits, not with texts times terms.
     """
-    terms = monitors.select("monitor_id", term_list(F.col("keywords"), F.col("aliases")).alias("terms"), term_list(F.lit(""), F.col("excludes")).alias("stops"))
-    rows = articles.where(~F.col("is_repost") & F.col("published_at").between(start, end)).withColumn("low", F.lower("text"))
-    hit = F.exists("terms", lambda t: F.contains(F.col("low"), F.lower(t))) & ~F.exists("stops", lambda t: F.contains(F.col("low"), F.lower(t)))
-    return rows.drop("monitor_id").join(F.broadcast(terms), hit).select("article_id", F.col("monitor_id"))
+    channels = monitors.select("monitor_id", term_list(F.col("keywords"), F.col("aliases")).alias("terms"), term_list(F.lit(""), F.col("excludes")).alias("stops"))
+    rows = articles.where(~F.col("is_repost") & F.col("published_at").between(start, end)).select("article_id", F.lower("text").alias("low"))
+    holds = lambda t: F.contains(F.col("low"), F.lower(t))
+    n = channels.agg(F.sum(F.size("terms") + F.size("stops") + 1).alias("n")).first().n or 0
+    if n <= inline_terms:
+        known = [F.struct(F.lit(c.monitor_id).alias("monitor_id"), _texts(c.terms).alias("terms"), _texts(c.stops).alias("stops")) for c in channels.collect()]
+        if not known:
+            return rows.select("article_id", F.lit(None).cast("string").alias("monitor_id")).where("false")
+        hits = F.filter(F.array(*known), lambda c: F.exists(c["terms"], holds) & ~F.exists(c["stops"], holds))
+        return rows.select("article_id", F.explode(F.transform(hits, lambda c: c["monitor_id"])).alias("monitor_id"))
+    terms = written(channels.select("monitor_id", "stops", F.explode("terms").alias("term")).withColumn("term", F.lower("term")), "terms")
+    pieces = terms.select("term").distinct().select("term", F.explode(_pieces(F.col("term"), gram)).alias("g"))
+    shared = pieces.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    index = pieces.join(shared.hint("merge"), "g").groupBy("term").agg(F.min(F.struct("n", "g")).alias("m")).select("term", "m.g")
+    widths = sorted(r.w for r in index.select(F.length("g").alias("w")).distinct().collect())
+    grams = F.array_distinct(F.concat(*[_cuts(F.col("low"), w) for w in widths]))
+    found = rows.select("article_id", F.explode(grams).alias("g")).join(index.hint("merge"), "g").select("article_id", "term").distinct()
+    texts = found.join(rows.hint("merge"), "article_id").where(F.contains("low", F.col("term")))
+    hits = texts.join(terms.hint("merge"), "term").where(~F.exists("stops", holds))
+    return hits.select("article_id", "monitor_id").distinct()
+
+
+def _texts(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
+def _cuts(text: Column, width: int) -> Column:
+    """The distinct pieces of ``width`` characters."""
+    starts = F.when(F.length(text) >= width, F.sequence(F.lit(1), F.length(text) - width + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(width))))
+
+
+def _pieces(term: Column, width: int) -> Column:
+    return F.when(F.length(term) <= width, F.array(term)).otherwise(_cuts(term, width))
 
 
 def monitored_handles(monitors: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -163,7 +163,13 @@ def merge(spark, sf):
     return out.select("canonical_id", "source", "url", "collected_at", "published_at", "n_rows", F.size("discovery_authors").cast("long").alias("n_authors"), F.size("discovery_sources").cast("long").alias("n_sources"))
 
 
-@query("d05_near_duplicates")
+@query("d05_near_duplicates", """, p AS (SELECT article_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS plain FROM articles WHERE content_status = 'full'),
+o AS MATERIALIZED (SELECT plain, min(article_id) AS id, length(plain) AS n FROM p WHERE length(plain) >= 500 GROUP BY plain),
+s AS MATERIALIZED (SELECT DISTINCT id, n, substr(plain, i, 32) AS t FROM o, LATERAL (SELECT unnest(range(1, n - 30)) AS i) x),
+k AS (SELECT id, n, count(*) AS k FROM s GROUP BY 1, 2),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS m FROM s a JOIN s b ON a.t = b.t AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) GROUP BY 1, 2)
+SELECT c.a, c.b FROM c JOIN k x ON x.id = c.a JOIN k y ON y.id = c.b WHERE m >= 0.9 * least(x.k, y.k)
+UNION SELECT o.id, p.article_id FROM o JOIN p USING (plain) WHERE p.article_id <> o.id""")
 def near_duplicates(spark, sf):
     return dedupe.near_duplicates(articles(spark, sf))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedlake.functions.text import ALARM, content_hash
-from feedlake.operators import candidates, evidence as ev, events as evs, metrics, quality, ranking
+from feedlake.operators import candidates, constraints as constraints_, evidence as ev, events as evs, metrics, quality, ranking
 from feedlake.sources.tables import NOW, PUBLISHERS, accounts, articles, events, evidence, monitors, table
 
 from .article_queries import judged
@@ -424,6 +424,35 @@ def constraints(spark, sf):
     return ev.violations(verdicts(spark, sf), ev.screening_rules(NOW)).select("article_id", F.array_join("violations", ",").alias("violations"))
 
 
+@query("v01_nested_schema", FULL + """, c AS (SELECT event_id, CAST(substr(event_id, 2) AS BIGINT) AS g, list(struct_pack(claim := CASE WHEN doc_id % 37 = 0 THEN '' ELSE title END, verdict := CASE WHEN doc_id % 41 = 0 THEN 'maybe' ELSE 'supported' END, reason := 'r', n_ids := CASE WHEN doc_id % 43 = 0 THEN 0 ELSE 1 END, excerpt := CASE WHEN doc_id % 47 = 0 THEN substr(text, 1, 300) ELSE substr(text, 1, 60) END) ORDER BY doc_id) AS claims,
+  list(struct_pack(role := CASE WHEN doc_id % 53 = 0 THEN 'witness' ELSE role END, excerpt := excerpt)) AS proof FROM he GROUP BY 1),
+k AS (SELECT e.event_id, c.g, relevance + CASE WHEN g % 23 = 0 THEN 100 ELSE 0 END AS relevance, value, CASE WHEN g % 29 = 0 THEN '' WHEN g % 10 = 5 THEN 'Event 5' ELSE title END AS title, summary, coalesce(importance, 'unassessed') AS importance, c.claims, c.proof FROM events_v e JOIN c USING (event_id)),
+u AS (SELECT title FROM k GROUP BY 1 HAVING count(*) > 1),
+p AS (SELECT event_id, list_filter([CASE WHEN length(title) NOT BETWEEN 1 AND 120 THEN 'title' END, CASE WHEN length(summary) NOT BETWEEN 1 AND 600 THEN 'summary' END, CASE WHEN relevance NOT BETWEEN 0 AND 100 THEN 'relevance' END, CASE WHEN value IS NULL THEN 'value' END, CASE WHEN g % 31 = 0 THEN 'gaps' END, CASE WHEN g % 31 = 1 THEN 'gaps[]' END,
+  CASE WHEN len(claims) > 5 THEN 'claims' END, CASE WHEN len(list_filter(claims, lambda x: length(x.claim) NOT BETWEEN 1 AND 250)) > 0 THEN 'claims[].claim' END, CASE WHEN len(list_filter(claims, lambda x: x.verdict = 'maybe')) > 0 THEN 'claims[].verdict' END,
+  CASE WHEN len(list_filter(claims, lambda x: x.n_ids = 0)) > 0 THEN 'claims[].article_ids' END, CASE WHEN len(list_filter(claims, lambda x: length(x.excerpt) NOT BETWEEN 8 AND 250)) > 0 THEN 'claims[].citations[].excerpt' END,
+  CASE WHEN len(list_filter(proof, lambda x: x.role = 'witness')) > 0 THEN 'evidence[].role' END, CASE WHEN len(list_filter(proof, lambda x: length(x.excerpt) NOT BETWEEN 8 AND 250)) > 0 THEN 'evidence[].excerpt' END, CASE WHEN u.title IS NOT NULL THEN 'unique title' END], lambda x: x IS NOT NULL) AS v FROM k LEFT JOIN u USING (title))
+SELECT event_id, array_to_string(v, ',') AS violations FROM p WHERE len(v) > 0""")
+def nested_schema(spark, sf):
+    """Assessments as nested rows, with planted faults: what goes to quarantine."""
+    rows = evidence(spark, sf).join(articles(spark, sf).select("article_id", "doc_id", F.col("title").alias("head"), "text").hint("merge"), "article_id")
+    bad = lambda n, yes, no: F.when(F.col("doc_id") % n == 0, yes).otherwise(no)
+    none = F.array().cast("array<string>")
+    claim = F.struct(
+        bad(37, F.lit(""), F.col("head")).alias("claim"), bad(41, F.lit("maybe"), F.lit("supported")).alias("verdict"), F.lit("r").alias("reason"), bad(43, none, F.array("article_id")).alias("article_ids"),
+        F.array(F.struct("article_id", bad(47, F.substring("text", 1, 300), F.substring("text", 1, 60)).alias("excerpt"))).alias("citations"),
+    )
+    proof = F.struct("article_id", bad(53, F.lit("witness"), F.col("role")).alias("role"), "excerpt")
+    lists = rows.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", claim.alias("c")))), lambda x: x["c"]).alias("claims"), F.collect_list(proof).alias("proof"))
+    g = F.expr("CAST(substring(event_id, 2) AS BIGINT)")
+    e = events(spark, sf).drop("evidence").join(lists.hint("merge"), "event_id").withColumn("g", g).select(
+        "event_id", F.lit("publish").alias("disposition"), F.when(F.col("g") % 29 == 0, "").when(F.col("g") % 10 == 5, "Event 5").otherwise(F.col("title")).alias("title"), "summary", (F.col("relevance") + F.when(F.col("g") % 23 == 0, 100).otherwise(0)).alias("relevance"), "value",
+        F.lit("i").alias("impact"), F.coalesce("importance", F.lit("unassessed")).alias("importance"), F.lit("i").alias("importance_reason"), "credibility", F.lit("r").alias("reason"),
+        F.when(F.col("g") % 31 == 0, F.array_repeat(F.lit("gap"), 7)).when(F.col("g") % 31 == 1, F.array(F.repeat(F.lit("g"), F.lit(201)))).otherwise(none).alias("gaps"), "claims", F.col("proof").alias("evidence"),
+    )
+    return constraints_.quarantined(e, constraints_.EVENT, {"unique title": [F.col("title")]})[1].select("event_id", F.array_join("violations", ",").alias("violations"))
+
+
 @query("v02_coverage", VERDICTS + """, o AS (SELECT batch, article_id FROM verdicts WHERE doc_id % 9 <> 0 UNION ALL SELECT batch, article_id FROM verdicts WHERE doc_id % 14 = 1 UNION ALL SELECT batch, 'x' || article_id FROM verdicts WHERE doc_id % 15 = 2),
 oc AS (SELECT batch, article_id, count(*) AS n FROM o GROUP BY 1, 2), b AS (SELECT coalesce(v.batch, oc.batch) AS batch, v.article_id AS i, oc.article_id AS u, oc.n FROM verdicts v FULL JOIN oc ON v.batch = oc.batch AND v.article_id = oc.article_id)
 SELECT batch, count(*) FILTER (WHERE i IS NULL) AS unknown, count(*) FILTER (WHERE n > 1) AS repeated, count(*) FILTER (WHERE u IS NULL) AS missing, count(*) FILTER (WHERE i IS NULL OR n > 1 OR u IS NULL) > 0 AS rejected FROM b GROUP BY 1""")

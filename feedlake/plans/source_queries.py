@@ -135,6 +135,26 @@ def bodies(spark, sf):
     return payloads.with_bodies(articles(spark, sf), payloads.body_text(pages)).select("article_id", "content_status", F.sha2("text", 256).alias("text_hash"))
 
 
+@query("n12_linked_originals", f""", a AS (SELECT *, doc_id * 31 % 97 AS rank, CASE WHEN doc_id % 9 = 4 THEN NULL WHEN doc_id % 10 = 3 THEN 'https://www.x.com/post/' || doc_id ELSE 'https://site' || (doc_id * 3 % 25) || '.example.com/post/' || (doc_id * 3 % 950) || '?utm_source=x' END AS linked_url FROM articles),
+w AS (SELECT *, source IN ('google', 'bing', 'rss') AND content_status <> 'full' AS direct, CASE WHEN source IN ('google', 'bing', 'rss') AND content_status <> 'full' THEN url WHEN source IN ('x', 'hn') AND NOT contains(linked_url, 'x.com/post/' || doc_id) THEN replace(linked_url, '?utm_source=x', '') END AS address FROM a),
+g AS (SELECT address, min((-rank, article_id)) AS lead, arg_max(article_id, (-rank, article_id)) AS id FROM w WHERE address IS NOT NULL GROUP BY 1 ORDER BY lead, address LIMIT 150),
+b AS (SELECT 'https://site' || (page_id % 25) || '.example.com/post/' || (page_id % 950) AS address, min(struct_pack(text := html, published_at := CASE WHEN page_id % 3 = 0 THEN {START} + page_id * 1000 END, error := CASE WHEN page_id % 4 = 1 THEN 'status 500' END)) AS body FROM pages GROUP BY 1),
+r AS (SELECT w.*, g.address AS taken, b.body, CASE WHEN g.address IS NULL THEN NULL WHEN b.body IS NULL THEN 'no body' ELSE b.body.error END AS error FROM w LEFT JOIN g ON g.id = w.article_id AND g.address = w.address LEFT JOIN b ON b.address = g.address),
+f AS (SELECT *, taken IS NOT NULL AND error IS NULL AS fine FROM r)
+SELECT article_id, CASE WHEN fine AND direct THEN taken ELSE url END AS url, sha256(CASE WHEN fine AND direct THEN body.text ELSE text END) AS text_sha, CASE WHEN fine AND direct THEN 'full' WHEN direct AND error IS NOT NULL THEN 'failed' ELSE content_status END AS content_status,
+  CASE WHEN fine AND direct THEN coalesce(body.published_at, published_at) ELSE published_at END AS published_at, CASE WHEN fine AND NOT direct THEN taken END AS original_url, error AS fetch_error, NULL AS found_in, CASE WHEN error IS NOT NULL THEN 'failed' WHEN fine AND direct THEN 'updated' WHEN fine THEN 'linked' END AS change FROM f
+UNION ALL SELECT substr(sha256('web:' || taken), 1, 32), taken, sha256(body.text), 'full', coalesce(body.published_at, published_at), NULL, NULL, source, 'original' FROM f WHERE fine AND NOT direct""")
+def linked_originals(spark, sf):
+    """Bodies and linked originals for the 150 addresses that come first by rank."""
+    link = "CASE WHEN doc_id % 9 = 4 THEN NULL WHEN doc_id % 10 = 3 THEN concat('https://www.x.com/post/', doc_id) ELSE concat('https://site', doc_id * 3 % 25, '.example.com/post/', doc_id * 3 % 950, '?utm_source=x') END"
+    rows = articles(spark, sf).withColumns({"rank": F.expr("doc_id * 31 % 97"), "linked_url": F.expr(link)})
+    pages = table(spark, sf, "pages").select(
+        F.expr("concat('https://site', page_id % 25, '.example.com/post/', page_id % 950)").alias("url"), F.col("html").alias("text"), F.expr(f"IF(page_id % 3 = 0, {START} + page_id * 1000, NULL)").alias("published_at"), F.expr("IF(page_id % 4 = 1, 'status 500', NULL)").alias("error")
+    )
+    out = payloads.enrich_articles(rows, pages, 150)
+    return out.select("article_id", "url", F.sha2("text", 256).alias("text_sha"), "content_status", "published_at", "original_url", "fetch_error", "found_in", "change")
+
+
 @query("n14_upsert_sink", "SELECT url, max(collected_at + CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 0 END) AS collected_at, arg_max(author, (collected_at + CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 0 END)) AS author FROM articles GROUP BY 1")
 def upsert(spark, sf):
     a = articles(spark, sf).select("url", "collected_at", "author", "doc_id")

@@ -139,6 +139,48 @@ def with_bodies(articles: DataFrame, bodies: DataFrame) -> DataFrame:
     ).drop("_key", "b")
 
 
+#: Hosts of discussions, whose pages are no originals (fixed values).
+SOCIAL = r"(^|\.)(x\.com|twitter\.com|news\.ycombinator\.com)$"
+
+
+def enrich_articles(articles: DataFrame, bodies: DataFrame, budget: int) -> DataFrame:
+    """Articles with the bodies that a budget of ``budget`` addresses pays for, and the linked originals as rows of their own.
+
+    articles: article_id, source, url, linked_url, content_status, text, published_at, likes, is_repost, origin_key and ``rank``; bodies: url, text, published_at, error. Candidates are web and feed rows
+    without a full body, for their own address, and posts and discussions for their first link, if that is no discussion's. They are taken by falling rank, then id; an address counts once, at its first
+    place but for its last candidate, and the first ``budget`` addresses are looked up: minima, maxima and a top-k, no sort of all rows.
+
+    A web row takes body and publication (another host's without one has none) or is marked failed with the error; a post keeps its text and tells its original, which becomes a row (id from the
+    address, no metrics, ``found_in`` its source), or the error. An address without a body has the error ``no body``. ``change`` is updated, original, linked, failed, or null for rows that stay as they are.
+    """
+    web = F.col("source").isin("google", "bing", "rss") & (F.col("content_status") != "full")
+    post = F.col("source").isin("x", "hn") & F.col("linked_url").isNotNull() & ~F.coalesce(host_of(F.col("linked_url")).rlike(SOCIAL), F.lit(True))
+    target = F.when(web, F.col("url")).when(post, F.col("linked_url"))
+    place = F.struct((-F.col("rank")).alias("down"), F.col("article_id").alias("id"))
+    wanted = articles.select("article_id", "rank", web.alias("direct"), normalize_url(target).alias("address")).where(F.col("address").isNotNull())
+    chosen = wanted.groupBy("address").agg(F.min(place).alias("first"), F.max(F.struct(place.alias("p"), F.col("direct"))).alias("last"))
+    chosen = chosen.orderBy("first", "address").limit(budget).select("address", F.col("last.p.id").alias("article_id"), "last.direct")
+    found = bodies.select(normalize_url(F.col("url")).alias("address"), F.struct("text", "published_at", "error").alias("body")).where(F.col("address").isNotNull()).groupBy("address").agg(F.min("body").alias("body"))
+    chosen = chosen.join(found.hint("merge"), "address", "left").withColumn("error", F.when(F.col("body").isNull(), "no body").otherwise(F.col("body.error")))
+    rows = articles.join(chosen.hint("merge"), "article_id", "left")
+    fine, direct = F.col("address").isNotNull() & F.col("error").isNull(), F.coalesce("direct", F.lit(False))
+    took = fine & direct
+    same_host = host_of(F.col("address")).eqNullSafe(host_of(F.col("url")))
+    published = F.coalesce(F.when(F.col("body.published_at") > 0, F.col("body.published_at")), F.when(same_host, F.col("published_at")), F.lit(0))
+    own = rows.select(
+        "article_id", "source", F.when(took, F.col("address")).otherwise(F.col("url")).alias("url"), F.when(took, F.col("body.text")).otherwise(F.col("text")).alias("text"),
+        F.when(took, "full").when(direct & F.col("error").isNotNull(), "failed").otherwise(F.col("content_status")).alias("content_status"), F.when(took, published).otherwise(F.col("published_at")).alias("published_at"), "likes", "is_repost",
+        "origin_key", F.when(fine & ~direct, F.col("address")).alias("original_url"), F.col("error").alias("fetch_error"), F.lit(None).cast("string").alias("found_in"),
+        F.when(F.col("error").isNotNull(), "failed").when(took, "updated").when(fine, "linked").alias("change"),
+    )
+    made = rows.where(fine & ~direct).select(
+        sha_id(F.concat(F.lit("web:"), "address")).alias("article_id"), "source", F.col("address").alias("url"), F.col("body.text").alias("text"), F.lit("full").alias("content_status"),
+        F.coalesce(F.when(F.col("body.published_at") > 0, F.col("body.published_at")), F.col("published_at")).alias("published_at"), F.lit(None).cast("long").alias("likes"), F.lit(False).alias("is_repost"),
+        F.regexp_extract("address", "^[a-z]+://([^/?#]+)", 1).alias("origin_key"), F.lit(None).cast("string").alias("original_url"), F.lit(None).cast("string").alias("fetch_error"), F.col("source").alias("found_in"), F.lit("original").alias("change"),
+    )
+    return own.unionByName(made)
+
+
 def run_report(rows: DataFrame) -> DataFrame:
     """Per run and source: raw, kept and filtered counts and counts by reason. ``reason`` is null for kept rows."""
     reasons = rows.where(F.col("reason").isNotNull()).groupBy("run", "source", "reason").agg(F.count(F.lit(1)).alias("n"))

@@ -76,8 +76,7 @@ def test_fair_sample_equals_the_loop(spark):
         df = spark.createDataFrame([("m", s, p, i, NOW) for s, p, i in rows], "monitor_id string, source string, rank double, article_id string, collected_at long")
         got = [r.article_id for r in ranking.fair_sample(df, limit, offset, NOW).orderBy("taken").collect()]
         want = loop_sample(rows, limit, offset)
-        # The loop may interleave x before others run out in its last turn; the chosen set and the start agree.
-        assert len(got) == len(want) and (set(got) == set(want) or limit == 40)
+        assert got == want
 
 
 def test_passages_reach_the_tail(spark):
@@ -98,7 +97,7 @@ def test_near_duplicates(spark):
     text = "\n".join(f"line {i} of a body that is long enough to count {i * i}" for i in range(30))
     rows = [("a", text, "full"), ("b", "short prefix. " + text, "full"), ("c", text.upper(), "full"), ("d", "other " * 200, "full"), ("e", text, "snippet"), ("f", text[: len(text) // 2], "full")]
     got = {(r.a, r.b) for r in dedupe.near_duplicates(spark.createDataFrame(rows, "article_id string, text string, content_status string")).collect()}
-    assert got == {("a", "b"), ("a", "c")} | ({("b", "c")} & got)
+    assert got == {("a", "b"), ("a", "c")}  # c is a copy of a, which stands for both
 
 
 def test_canonical_groups_find_planted_copies(spark):
@@ -178,5 +177,8 @@ def test_near_copies_are_not_independent(spark):
     assert {r.event_id: r.status for r in evidence_status(events, good).collect()} == {"e1": "unverified", "e2": "corroborated", "e3": "unverified", "e4": "supported", "e5": "unverified"}
 
     claims = [("a", 0, "disputed", ["x", "y"], "insufficient"), ("b", 0, "corroborated", ["x"], "contradicted"), ("b", 1, "corroborated", ["y"], "supported"), ("c", 0, "disputed", ["x"], "supported"), ("d", 0, "supported", ["x"], "insufficient"), ("e", 0, "supported", ["x"], "supported")]
-    got = claim_downgrade(spark.createDataFrame(claims, "event_id string, claim int, requested string, article_ids array<string>, verdict string"))
-    assert {r.event_id: r.credibility for r in got.collect()} == {"a": "disputed", "b": "disputed", "c": None, "d": "unverified", "e": "supported"}
+    # The event's evidence counts, not what the claims cite: f cites one article and has two, c cites one and has one, g has none.
+    claims += [("f", 0, "corroborated", ["x"], "contradicted"), ("g", 0, "disputed", ["x", "y"], "supported")]
+    proof = [(e, a) for e, ids in (("a", "xy"), ("b", "xyy"), ("c", "xx"), ("d", "x"), ("e", "x"), ("f", "xy")) for a in ids]
+    got = claim_downgrade(spark.createDataFrame(claims, "event_id string, claim int, requested string, article_ids array<string>, verdict string"), spark.createDataFrame(proof, "event_id string, article_id string"))
+    assert {r.event_id: r.credibility for r in got.collect()} == {"a": "disputed", "b": "disputed", "c": None, "d": "unverified", "e": "supported", "f": "disputed", "g": None}
