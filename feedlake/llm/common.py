@@ -51,6 +51,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The most bytes of a written table that is broadcast; in memory it is some times as large.
+BROADCAST_BYTES = 4 << 20
+
+
+def join_hint(table: DataFrame, broadcast_rows: int) -> str:
+    """How to join with a written ``table``: a broadcast if it has at most ``broadcast_rows`` rows and ``BROADCAST_BYTES`` bytes of files, both looked up, else a merge join."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return "broadcast" if size <= BROADCAST_BYTES and table.count() <= broadcast_rows else "merge"
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
     """While it holds, batches for Python have at most ``rows`` rows: for actions on rows that carry whole sets or records."""
@@ -66,11 +76,11 @@ def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
 def without_ids(docs: DataFrame, id_col: str, gone: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     """``docs`` without the rows whose id is in the one column of ``gone``; rows with a null id stay.
 
-    The ids are written and counted: up to ``broadcast_rows`` they are broadcast, and ``docs`` are not shuffled; beyond that the join is a merge join.
+    The ids are written and counted: a small table (see join_hint()) is broadcast, and ``docs`` are not shuffled; beyond that the join is a merge join.
     """
     name = fresh(docs, "_gone")
     gone = written(gone.toDF(name), "gone")
-    return docs.join(gone.hint("broadcast" if gone.count() <= broadcast_rows else "merge"), docs[id_col] == gone[name], "left_anti")
+    return docs.join(gone.hint(join_hint(gone, broadcast_rows)), docs[id_col] == gone[name], "left_anti")
 
 
 def fingerprint(text: Column | str) -> Column:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, salt_of, salted, small_batches, without_ids, written
+from .common import join_hint, kept, salt_of, salted, small_batches, without_ids, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -282,7 +282,7 @@ def distances(docs: DataFrame, assign: DataFrame, id_col: str, text_col: str, s:
     leads = shares.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0), F.col("share") - 1)).alias("cell")).withColumn("cell", -1 - F.col("cell"))
     places = dealt.unionByName(leads).groupBy("node").agg(F.collect_list(F.struct("pivot", "cell")).alias("places"))
     places = written(places.select("node", F.col("places.pivot").alias("pivots"), F.col("places.cell").alias("cells")), "places")
-    how = "broadcast" if places.count() <= s.broadcast_rows else "merge"
+    how = join_hint(places, s.broadcast_rows)
     texts = _rows(docs, id_col, text_col).join(places.hint(how), F.col("doc") == F.col("node")).select("t", "node", "pivots", "cells")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -373,20 +373,24 @@ def voronoi(often: DataFrame, apart: DataFrame, comps: DataFrame, s: Setting) ->
 
 def leftover_pairs(often: DataFrame, by_node: DataFrame, s: Setting) -> DataFrame:
     """Pairs of different components that sizes, places, bin counts and the triangle inequality allow, in regions that pivots did not split. One side is dealt
-    to as many cells as the region has ``block`` members, the other goes to all of them."""
+    to as many cells as the region has ``block`` members, the other goes to all of them. A pair comes from the region of its first common shingle only: each member brings
+    what stands before the region's shingle in its prefix, and members that share something there meet elsewhere."""
     share = F.ceil(F.col("m") / s.block).cast("int")
-    rows = on_regions(often, often.groupBy("region").agg(F.count(F.lit(1)).alias("m")), s).withColumn("share", share).join(by_node.select("node", "bins").hint("merge"), "node")
+    rows = on_regions(often, often.groupBy("region").agg(F.count(F.lit(1)).alias("m")), s).withColumn("share", share).join(by_node.select("node", "bins", "prefix").hint("merge"), "node")
+    rows = rows.withColumn("before", F.slice("prefix", 1, F.col("at"))).drop("prefix")
     cell = {"a": F.pmod(F.xxhash64("node"), F.col("share")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("share") - 1))}
-    sides = [rows.select("region", cell[x].alias("cell"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "comp", "d", "bins")]) for x in "ab"]
+    sides = [rows.select("region", cell[x].alias("cell"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "comp", "d", "bins", "before")]) for x in "ab"]
     place = lambda x: {c: F.col(f"{c}_{x}") for c in ("n", "at")}
     on = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= s.reach + 1e-9) & _near_enough(s, place("a"), place("b"))
-    return sides[0].join(sides[1].hint("merge"), ["region", "cell"]).where(on & _bins_allow(s)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return sides[0].join(sides[1].hint("merge"), ["region", "cell"]).where(on & ~F.arrays_overlap("before_a", "before_b") & _bins_allow(s)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def node_links(docs: DataFrame, sig: DataFrame, nodes: DataFrame, id_col: str, text_col: str, s: Setting) -> DataFrame:
     """Links (a, b) between nodes that join all nodes of each class of the whole join; inside a class there may be more."""
     heads = sig.where(F.col("own").isNotNull()).select("key", "doc", "n", "bins", "own").join(nodes.hint("merge"), "key")
     heads = written(heads.select("doc", "node", "n", "bins", "own"), "heads")
+    prefixes = sig.where(F.col("own").isNotNull()).select("doc", F.concat("rare", "often").alias("prefix")).join(heads.select("doc", "node").hint("merge"), "doc")
+    prefixes = prefixes.drop("doc").withColumnRenamed("node", "doc").dropDuplicates(["doc"])
     posted = lambda part, at: sig.where(F.size(part) > 0).select(F.posexplode(part).alias("at", "s"), "doc", "n", at.alias("before")).select("s", "doc", "n", (F.col("at") + F.col("before")).alias("at"))
     rare = written(split_regions(posted("rare", F.lit(0)), s), "regions")
     pairs = possible(rare.where("pair").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), heads, s)
@@ -415,7 +419,8 @@ def node_links(docs: DataFrame, sig: DataFrame, nodes: DataFrame, id_col: str, t
         before, large_rows = large_rows, often.groupBy("region").count().where(F.col("count") > s.joined).agg(F.sum("count")).first()[0] or 0
         if large_rows == 0 or (before is not None and large_rows > 0.8 * before):
             break
-    waiting = unlinked(waiting.unionByName(leftover_pairs(often, by_node, s)).distinct(), comps)
+    left = by_node.join(prefixes.hint("merge"), "doc")
+    waiting = unlinked(waiting.unionByName(leftover_pairs(often, left, s)).distinct(), comps)
     apart = measured(docs, waiting.select(F.col("a").alias("pivot"), F.col("b").alias("node")), id_col, text_col, s)
     return written(links.unionByName(links_of(apart, s)).distinct(), "links")
 

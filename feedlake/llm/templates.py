@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fingerprint, written
+from .common import fingerprint, join_hint, written
 
 #: Unit words (fixed values); a word of these after a number becomes a unit placeholder.
 UNITS = tuple(("mm cm m km kg g mg lb oz inch inches foot feet yard yards mile miles meter meters metre metres liter liters litre litres gallon gallons "
@@ -109,7 +109,7 @@ def contaminated(
     short = short_widths(benchmark, item_text_col, width, least_words)
     items = written(item_windows(benchmark, item_col, item_text_col, width, least_words, units, short), "item-windows")
     sizes = items.groupBy("item", "form").agg(F.count(F.lit(1)).alias("n_windows"))
-    how = "broadcast" if items.count() <= broadcast_rows else "merge"
+    how = join_hint(items, broadcast_rows)
     hits = template_windows(docs, id_col, text_col, width, least_words, units, short).join(items.hint(how), "h")
     hits = hits.select("_id", "_fp", "item", "form", "h", "pos", "slots", F.explode("own").alias("o")).where(F.col("slots").isNull() == F.col("o.slots").isNull())
     # The place matters only where there are slots. Written out, because three branches read it and the windows of all documents stand behind it.
@@ -142,7 +142,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     bad = contaminated(docs, benchmark, id_col, text_col, broadcast_rows=broadcast_rows, **options).select(F.col(id_col).alias("_bad_id"), F.col("fp").alias("_bad_fp"))
     bad = written(bad.distinct(), "contaminated")
     same = docs[id_col].eqNullSafe(bad["_bad_id"]) & (fingerprint(docs[text_col]) == bad["_bad_fp"])
-    return docs.join(bad.hint("broadcast" if bad.count() <= broadcast_rows else "merge"), same, "left_anti")
+    return docs.join(bad.hint(join_hint(bad, broadcast_rows)), same, "left_anti")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
