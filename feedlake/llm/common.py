@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,6 +62,12 @@ def join_hint(table: DataFrame, broadcast_rows: int) -> str:
     return "broadcast" if size <= BROADCAST_BYTES and table.count() <= broadcast_rows else "merge"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark clean the broadcasts and shuffle files of finished rounds: its cleaner follows the driver's garbage collection, which comes late on a small heap of long-lived plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
     """While it holds, batches for Python have at most ``rows`` rows: for actions on rows that carry whole sets or records."""

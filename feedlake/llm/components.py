@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hint, written
+from .common import join_hint, release, written
 
 
 def components(links: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
@@ -27,4 +27,5 @@ def components(links: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
         step = written(step, "labels")
         labels = step.select("node", F.col("next").alias("comp"))
         if step.where(F.col("comp") != F.col("next")).isEmpty():
+            release(links.sparkSession)
             return labels

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hint, kept, salt_of, salted, small_batches, without_ids, written
+from .common import join_hint, kept, release, salt_of, salted, small_batches, without_ids, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -397,6 +397,7 @@ def node_links(docs: DataFrame, sig: DataFrame, nodes: DataFrame, id_col: str, t
     often = rare.where(~F.col("pair")).select(F.col("x").alias("region"), F.col("y").alias("doc"), F.col("z").cast("int").alias("at"))
     often = often.unionByName(posted("often", F.size("rare")).select(F.col("s").alias("region"), "doc", F.col("at").cast("int").alias("at")))
     often = often.join(heads.drop("bins").hint("merge"), "doc").select("region", "node", "n", "at", "own").distinct()
+    release(docs.sparkSession)
     often = written(alive(written(often, "often"), s).withColumn("comp", F.col("node")).withColumn("d", F.lit(0.0)), "alive")
 
     by_node = heads.select(F.col("node").alias("doc"), "node", "n", "bins").dropDuplicates(["doc"])
