@@ -53,7 +53,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 #: The most bytes of a written table that is broadcast; in memory it is some times as large.
-BROADCAST_BYTES = 4 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def join_hint(table: DataFrame, broadcast_rows: int) -> str:
