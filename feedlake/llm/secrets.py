@@ -83,10 +83,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Only documents with candidates have a row; they may be too many to broadcast.
     out = rows.join(per_doc.hint("merge"), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_fp") == F.col("_fp2")), "left")
     count = lambda col, test: F.coalesce(F.size(F.filter(col, test)), F.lit(0)).cast("long")
+    # One parameter only: Spark gives the index of an element to a second one, even if that has a default.
+    of_kind = lambda k: lambda x: x["kind"] == k
     empty = F.array().cast("array<string>")
     return out.select(
         F.col("_id").alias(id_col),
-        *[count("_b", lambda x, k=k: x["kind"] == k).alias(f"n_{KINDS[k][0]}") for k in range(opaque)],
+        *[count("_b", of_kind(k)).alias(f"n_{KINDS[k][0]}") for k in range(opaque)],
         count("_e", lambda x: x["_live"]).alias("n_live"),
         count("_b", lambda x: ~x["_live"]).alias("n_copied"),
         F.coalesce(shown("_b"), empty).alias("base"),

@@ -3,7 +3,7 @@ import random
 import re
 
 from feedlake.llm.line_dedup import dedup_lines
-from feedlake.llm.secrets import scan_secrets
+from feedlake.llm.secrets import op4, scan_secrets
 
 from .cases import no_docs, odd_docs
 
@@ -29,6 +29,19 @@ def test_secret_spans(spark):
     assert scan_secrets(no_docs(spark)).count() == 0
 
 
+def test_secret_counts_and_digest(spark, tmp_path):
+    texts = ["token=abcdef", "0f" * 12, "AKIA" + "B" * 16, "0f" * 12 + " " + "a1" * 12 + " secret: 123456 " + "AKIA" + "B" * 16, "token=abc", "token=abcdef " * 5]
+    odd_docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet").collect()
+
+    def want(text):
+        spans = base_spans(text)
+        return [sum(s.startswith(k) for s in spans) for k in ("assign", "access", "hex")] + [hashlib.sha256(",".join(spans).encode()).hexdigest()]
+
+    got = op4(spark, str(tmp_path)).collect()
+    assert sorted([(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got], key=repr) == sorted([(r.doc_id, *want(r.text or "")) for r in rows], key=repr)
+
+
 def test_secret_ownership(spark):
     copied, own = "Ab3" * 9, "Qz7" * 9
     docs = odd_docs(spark, [f"see {copied} here" for _ in range(12)] + [f"only {own} here"])
