@@ -206,8 +206,9 @@ def usage_windows(spark, sf):
 
 
 def _stream(spark, sf, name):
+    """A given table as a stream, whether it is one file or a folder of files: only a pattern takes either, and a filter on file names would leave out those in a folder."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _checkpoint(spark):
