@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ ALARM = r"(?i)漏洞|泄露|停服|中断|不兼容|破坏性|\b(vulnerability|C
 DAY_OFFSET_MS = 8 * 3600 * 1000
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of ``value``, which is evaluated once: inside a lambda each use of an expression is evaluated by itself, and anew for each element."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def ws_norm(s: Column) -> Column:
     """White space collapsed to single blanks and trimmed."""
     return F.trim(F.regexp_replace(s, "[ \\t\\r\\n]+", " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlake.functions.text import content_hash, nfkc, normalize_url
+from feedlake.functions.text import bound, content_hash, nfkc, normalize_url
 from feedlake.sources.scratch import written
 
 from .components import merge_labels, star_components
@@ -93,11 +93,14 @@ def letters_only(text: Column) -> Column:
 
 def char_shingles(plain: Column, width: int = 32) -> Column:
     """Hashes of the distinct ``width``-unit pieces of a text, in UTF-16 units; cut from the encoded bytes, as a cut of a string would count
-    characters from its start each time."""
-    units = F.encode(plain, "UTF-16BE")
-    n = (F.length(units) / 2).cast("int")
-    starts = F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * width)))))
+    characters from its start each time. The text is encoded once, not for each piece."""
+
+    def pieces(units: Column) -> Column:
+        n = (F.length(units) / 2).cast("int")
+        starts = F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * width))))
+
+    return F.array_distinct(bound(F.encode(plain, "UTF-16BE"), pieces))
 
 
 def near_duplicates(rows: DataFrame, least_chars: int = 500, width: int = 32, length_ratio: float = 0.7, share: float = 0.9, hot: int = 1000, salts: int = 16) -> DataFrame:
@@ -114,7 +117,7 @@ def near_duplicates(rows: DataFrame, least_chars: int = 500, width: int = 32, le
     copies = plain.select("h", "article_id").join(first.hint("merge"), "h").where(F.col("article_id") != F.col("id")).select(F.col("id").alias("a"), F.col("article_id").alias("b"))
     units = (F.length(F.encode("plain", "UTF-16BE")) / 2).cast("int")
     one = plain.join(first.select(F.col("id").alias("article_id")).hint("merge"), "article_id", "left_semi").dropDuplicates(["article_id"])
-    sets = written(one.select(F.col("article_id").alias("id"), units.alias("n"), char_shingles(F.col("plain"), width).alias("s")).where(F.size("s") > 0), "sets")
+    sets = written(one.where(units >= width).select(F.col("article_id").alias("id"), units.alias("n"), char_shingles(F.col("plain"), width).alias("s")), "sets")
     kind = lambda size: F.floor(F.log(size) / F.log(F.lit(1.25))).cast("int")
     each = sets.select("id", "n", F.size("s").alias("k"), F.explode("s").alias("t"))
     common = each.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
