@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlake.functions.text import ALARM, ws_norm
+from feedlake.functions.text import ALARM, bound, ws_norm
 from feedlake.operators.dedupe import char_shingles, letters_only
 
 
@@ -46,18 +46,21 @@ def quotes_held(evidence: DataFrame, articles: DataFrame) -> DataFrame:
 def _ends(text: Column, longest: int, least: int, tail: int) -> Column:
     """The ends of the spans of a text, a fold over positions in one native expression."""
 
-    def step(ends: Column, _: Column) -> Column:
-        at = F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0))
-        hard = F.least(F.length(text), at + longest)
-        chunk = F.substring(text, at + 1, hard - at)
+    def following(ends: Column, at: Column, n: Column) -> Column:
+        hard = F.least(n, at + longest)
         # The greedy prefix runs to the last sentence end that lies ``least`` characters in or further; a line end behind a full stop belongs to it.
-        kept = F.length(F.regexp_extract(chunk, rf"(?s)^(.{{{least},}}(?:[.!?。！？][ \t\r\n]|(?<![.!?。！？])\n))", 1))
-        end = F.when((hard < F.length(text)) & (kept > 0), at + kept).otherwise(hard)
-        end = F.when(F.length(text) - end < tail, F.length(text)).otherwise(end)
-        return F.when(at >= F.length(text), ends).otherwise(F.concat(ends, F.array(end)))
+        prefix = F.regexp_extract(F.substring(text, at + 1, hard - at), rf"(?s)^(.{{{least},}}(?:[.!?。！？][ \t\r\n]|(?<![.!?。！？])\n))", 1)
+        kept = F.when(hard < n, F.length(prefix)).otherwise(0)
+        end = bound(kept, lambda k: F.when(k > 0, at + k).otherwise(hard))
+        return bound(end, lambda e: F.concat(ends, F.array(F.when(n - e < tail, n).otherwise(e))))
 
-    turns = F.sequence(F.lit(0), F.ceil(F.length(text) / (least + 1)).cast("int"))
-    return F.aggregate(turns, F.array().cast("array<int>"), step)
+    def folded(n: Column) -> Column:
+        def step(ends: Column, _: Column) -> Column:
+            return bound(F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)), lambda at: F.when(at >= n, ends).otherwise(following(ends, at, n)))
+
+        return F.aggregate(F.sequence(F.lit(0), F.ceil(n / (least + 1)).cast("int")), F.array().cast("array<int>"), step)
+
+    return bound(F.length(text), folded)
 
 
 def _spans(text: Column, ends: Column, begin: Column, visible: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedlake.functions.text import bound
+
 
 def _metric(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
@@ -58,12 +60,13 @@ def passages(rows: DataFrame, query: Column, most: int = 3000, block: int = 750)
     k = max(1, most // block)
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(block))
 
-    def scored(start: Column) -> Column:
+    def scored(start: Column, terms: Column) -> Column:
         low = F.lower(F.substring(F.col("text"), start + 1, F.lit(block)))
-        score = F.size(F.filter(terms, lambda t: F.contains(low, t))) * 3 + F.when(start == 0, 1).otherwise(0)
-        return F.struct((-score).alias("s"), start.alias("start"))
+        held = bound(low, lambda b: F.size(F.filter(terms, lambda t: F.contains(b, t))))
+        return F.struct((-(held * 3 + F.when(start == 0, 1).otherwise(0))).alias("s"), start.alias("start"))
 
-    best = F.slice(F.array_sort(F.transform(starts, scored)), 1, k)
+    # The terms are cut from the query once, not for each block, and each block is put in lower case once, not for each term.
+    best = bound(terms, lambda found: F.slice(F.array_sort(F.transform(starts, lambda start: scored(start, found))), 1, k))
     chosen = F.array_sort(F.transform(best, lambda x: x["start"]))
     cut = F.transform(chosen, lambda s: F.struct(s.alias("start"), F.substring(F.col("text"), s + 1, F.lit(block)).alias("text")))
     total = F.aggregate(F.transform(F.col("passages"), lambda p: F.length(p["text"])), F.lit(0), lambda a, b: a + b)
