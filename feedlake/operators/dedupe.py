@@ -16,6 +16,14 @@ def match_keys(articles: DataFrame) -> DataFrame:
     return articles.withColumn("url_key", normalize_url(F.col("url"))).withColumn("content_hash", content_hash(F.col("text"), F.col("content_status")))
 
 
+KEYS = ("article_id", "collected_at", "is_repost", "url_key", "content_hash")
+
+
+def written_keys(articles: DataFrame) -> DataFrame:
+    """The columns that groups are made from as a written table, so that texts are read and hashed once; a table that has the keys already is taken as it is."""
+    return articles.select(*KEYS) if set(KEYS) <= set(articles.columns) else written(match_keys(articles).select(*KEYS), "keys")
+
+
 def canonical_edges(keyed: DataFrame, later: DataFrame | None = None) -> DataFrame:
     """Links from later rows that are no reposts (those of ``later``, if given) to the first row with the same URL key or the same content hash.
 
@@ -37,7 +45,7 @@ def canonical_groups(articles: DataFrame) -> DataFrame:
 
     Links are contracted to stars in logarithmic rounds of written tables; rows without links are their own group.
     """
-    keyed = match_keys(articles)
+    keyed = written_keys(articles)
     return _named(star_components(_ranked_links(canonical_edges(keyed), keyed)), keyed)
 
 
@@ -46,7 +54,7 @@ def grow_groups(stored: DataFrame, groups: DataFrame, batch: DataFrame) -> DataF
 
     Equal to the whole run where no row of the batch is earlier than a stored row with one of its keys, as arrival order is time order; ids of the batch are new.
     """
-    old, new = match_keys(stored), match_keys(batch)
+    old, new = written_keys(stored), written_keys(batch)
     both = old.unionByName(new)
     fresh = canonical_edges(both, new)
     rank = both.select("article_id", F.struct("collected_at", "article_id").alias("node"))

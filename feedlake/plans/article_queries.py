@@ -148,7 +148,7 @@ def canonical(spark, sf):
 @query("d03_grow_groups", GROUPS + "SELECT article_id, canonical_id FROM groups")
 def grown(spark, sf):
     """The groups of the first two thirds of the time, and the rest merged into them."""
-    a = articles(spark, sf)
+    a = dedupe.written_keys(articles(spark, sf))
     late = F.col("collected_at") >= START + 2 * (NOW - START) // 3
     stored = a.where(~late)
     return dedupe.grow_groups(stored, written(dedupe.canonical_groups(stored), "groups"), a.where(late))

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from feedlake.operators import dedupe, ranking
-from feedlake.plans import event_queries
+from feedlake.plans import article_queries, event_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +40,13 @@ def test_texts_are_shuffled_once_for_passages(spark):
     plan = event_queries.read_passages(spark, SF)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     nodes = [n for n in plan.split("\n\n") if ") Exchange" in n and ("text#" in n.split("Input")[-1].split("\n")[0])]
     assert len(nodes) == 1
+
+
+def test_grouping_reads_and_hashes_texts_once(spark, monkeypatch):
+    made = []
+    keys = dedupe.match_keys
+    monkeypatch.setattr(dedupe, "match_keys", lambda rows: made.append(rows) or keys(rows))
+    for run in (article_queries.grown, article_queries.canonical):
+        made.clear()
+        plan = run(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert len(made) == 1 and "text#" not in plan and "sha2(" not in plan
