@@ -15,7 +15,7 @@ UNITS = tuple(("mm cm m km kg g mg lb oz inch inches foot feet yard yards mile m
 NAME, UNIT, POINT, INNER = "\u0002", "\u0003", "\u0004", "\u0006"
 #: Capitalised words after a lower-case word or a comma are taken for one name: elsewhere a capital may only begin a sentence.
 NAME_AT = r"([\p{Ll},;] )(?=\p{Lu}\p{Ll})"
-NAME_RUN = r"([\p{Ll},;] )(\p{Lu}\p{Ll}[\p{L}'\u2019]*(?: \p{Lu}\p{Ll}[\p{L}'\u2019]*)*)"
+NAME_RUN = r"([\p{Ll},;] )(\p{Lu}\p{Ll}[\p{L}'\u2019]*+(?: \p{Lu}\p{Ll}[\p{L}'\u2019]*+)*+)"
 #: ASCII signs and the Unicode blocks of punctuation and spaces part tokens.
 SEPARATORS = r"[\x00\x01\x05\x07-/:-@\[-`{-\x7f\u00a0-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2000-\u206f\u3000-\u303f]+"
 SLOT = f"^[0-9{NAME}{UNIT}]"

@@ -185,3 +185,12 @@ def test_decontamination_finds_planted_items(spark):
     want = {(r.doc_id, i) for r in docs.collect() for i, t in texts if t and t in norm(r.text)}
     got = {(r.doc_id, r.item_id) for r in contaminated(docs, items).select("doc_id", F.col("item_id")).collect()}
     assert want <= got
+
+
+def test_a_long_run_of_names_is_one_name(spark):
+    """A pattern that recurses for each word of a run overflows the stack of a task, which ends the executor."""
+    item = "so qab qac qad qae qaf qag qah qai qaj"
+    texts = [f"{item} in {'Paris Rome ' * 20_000}qba qbb", f"qbc in {'Paris Rome ' * 20_000}qba {item[3:]}", f"qba in {'Paris Rome ' * 20_000}qbb"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got == {(0, 7), (1, 7)}
