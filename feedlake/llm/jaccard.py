@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_hint, kept, release, salt_of, salted, small_batches, without_ids, written
@@ -272,9 +272,10 @@ def distances(docs: DataFrame, assign: DataFrame, id_col: str, text_col: str, s:
 
     Texts of the documents that take part are read again; each set goes to its pivots in one shuffle. A pivot's nodes are
     dealt to cells of about ``block`` sets, each with a copy of the pivot's, and stream past it: no group is held. The ids that take part
-    are written and counted: up to ``broadcast_rows`` they are broadcast, beyond that the join is a merge join.
+    are written and counted: up to ``broadcast_rows`` they are broadcast, beyond that the join is a merge join. The pairs are written
+    first, as three branches read them and whole joins may stand behind them.
     """
-    assign = assign.where(F.col("pivot") != F.col("node")).distinct()
+    assign = written(assign.where(F.col("pivot") != F.col("node")).select("pivot", "node").distinct(), "assign")
     shares = assign.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("share"))
     deal = F.pmod(F.xxhash64("node"), F.col("share")).cast("int")
     dealt = assign.withColumn("_salt", salt_of(s.salts, "node")).join(salted(shares, s.salts).hint("merge"), ["pivot", "_salt"]).select("node", "pivot", deal.alias("cell"))
@@ -359,25 +360,34 @@ def voronoi(often: DataFrame, apart: DataFrame, comps: DataFrame, s: Setting) ->
     """Members (region, pivot, node, n, at, own, m) placed in the Voronoi regions that their distances ask for, with ``d`` and ``comp``; settled regions are left out."""
     away = apart.select("pivot", "node", (1 - F.col("common") / (F.col("n_pivot") + F.col("n") - F.col("common"))).alias("d")).groupBy("pivot", "node").agg(F.min("d").alias("d"))
     placed = often.drop("d").join(away.hint("merge"), ["pivot", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    near = placed.groupBy("region", "node").agg(F.min("d").alias("least"))
-    placed = placed.join(near.hint("merge"), ["region", "node"]).where(F.col("d") <= F.col("least") + 2 * s.reach + 1e-9)
+    # A node has a row for each pivot of the region, a few; those that stay are written, as are the placed ones below: two branches read either.
+    placed = placed.withColumn("least", F.min("d").over(Window.partitionBy("region", "node"))).where(F.col("d") <= F.col("least") + 2 * s.reach + 1e-9)
+    placed = written(placed.drop("least"), "near")
     # A Voronoi region whose window holds every member covers all pairs of its parent; the others are then left out.
     whole = placed.groupBy("region", "pivot").agg(F.count(F.lit(1)).alias("k"), F.max("m").alias("m")).groupBy("region").agg(F.min(F.when(F.col("k") >= F.col("m"), F.col("pivot"))).alias("only"))
     placed = on_regions(placed, whole, s).where(F.col("only").isNull() | (F.col("only") == F.col("pivot")))
     placed = placed.drop("comp").join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = placed.select(F.xxhash64("region", "pivot").alias("region"), "node", "n", "at", "own", "comp", "d")
+    placed = written(placed.select(F.xxhash64("region", "pivot").alias("region"), "node", "n", "at", "own", "comp", "d"), "placed")
     # A region of one component is settled.
     mixed = placed.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("region")
     return alive(written(on_regions(placed, mixed, s), "split"), s)
 
 
-def leftover_pairs(often: DataFrame, by_node: DataFrame, s: Setting) -> DataFrame:
+def left_sets(often: DataFrame, sig: DataFrame, heads: DataFrame, s: Setting) -> DataFrame:
+    """(node, bins, prefix) for the nodes of ``often``, written. Their ids are written and counted first: few are broadcast, so the prefixes of all other sets are not shuffled."""
+    nodes = written(often.select("node").distinct(), "left-nodes")
+    ids = written(heads.select("doc", "node").join(nodes.hint(join_hint(nodes, s.broadcast_rows)), "node").distinct(), "left-ids")
+    sets = sig.where(F.col("own").isNotNull()).select("doc", "bins", F.concat("rare", "often").alias("prefix"))
+    return written(sets.join(ids.hint(join_hint(ids, s.broadcast_rows)), "doc").select("node", "bins", "prefix").dropDuplicates(["node"]), "left-sets")
+
+
+def leftover_pairs(often: DataFrame, sets: DataFrame, s: Setting) -> DataFrame:
     """Pairs of different components that sizes, places, bin counts and the triangle inequality allow, in regions that pivots did not split. One side is dealt
     to as many cells as the region has ``block`` members, the other goes to all of them. A pair comes from the region of its first common shingle only: each member brings
     what stands before the region's shingle in its prefix, and members that share something there meet elsewhere."""
     share = F.ceil(F.col("m") / s.block).cast("int")
-    rows = on_regions(often, often.groupBy("region").agg(F.count(F.lit(1)).alias("m")), s).withColumn("share", share).join(by_node.select("node", "bins", "prefix").hint("merge"), "node")
-    rows = rows.withColumn("before", F.slice("prefix", 1, F.col("at"))).drop("prefix")
+    rows = on_regions(often, often.groupBy("region").agg(F.count(F.lit(1)).alias("m")), s).withColumn("share", share).join(sets.hint("merge"), "node")
+    rows = written(rows.withColumn("before", F.slice("prefix", 1, F.col("at"))).drop("prefix"), "left")  # both sides read them
     cell = {"a": F.pmod(F.xxhash64("node"), F.col("share")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("share") - 1))}
     sides = [rows.select("region", cell[x].alias("cell"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "comp", "d", "bins", "before")]) for x in "ab"]
     place = lambda x: {c: F.col(f"{c}_{x}") for c in ("n", "at")}
@@ -389,8 +399,6 @@ def node_links(docs: DataFrame, sig: DataFrame, nodes: DataFrame, id_col: str, t
     """Links (a, b) between nodes that join all nodes of each class of the whole join; inside a class there may be more."""
     heads = sig.where(F.col("own").isNotNull()).select("key", "doc", "n", "bins", "own").join(nodes.hint("merge"), "key")
     heads = written(heads.select("doc", "node", "n", "bins", "own"), "heads")
-    prefixes = sig.where(F.col("own").isNotNull()).select("doc", F.concat("rare", "often").alias("prefix")).join(heads.select("doc", "node").hint("merge"), "doc")
-    prefixes = prefixes.drop("doc").withColumnRenamed("node", "doc").dropDuplicates(["doc"])
     posted = lambda part, at: sig.where(F.size(part) > 0).select(F.posexplode(part).alias("at", "s"), "doc", "n", at.alias("before")).select("s", "doc", "n", (F.col("at") + F.col("before")).alias("at"))
     rare = written(split_regions(posted("rare", F.lit(0)), s), "regions")
     pairs = possible(rare.where("pair").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), heads, s)
@@ -404,7 +412,7 @@ def node_links(docs: DataFrame, sig: DataFrame, nodes: DataFrame, id_col: str, t
     large_rows = None
     links, comps, waiting, member = None, None, written(pairs, "pairs"), F.struct("n", "node", "at").alias("m")
     for depth in range(s.levels):
-        joined = on_regions(often, written(pivots_of(often, depth, s), "pivots"), s)
+        joined = written(on_regions(often, written(pivots_of(often, depth, s), "pivots"), s), "members")
         little = joined.where(F.col("m") <= s.small).groupBy("region").agg(F.collect_list(member).alias("members"))
         waiting = written(waiting.unionByName(possible(region_pairs(little, s), by_node, s)).distinct(), "pairs")
         large = joined.where(F.col("m") > s.small).withColumn("pivot", F.explode("pivots")).drop("pivots")
@@ -420,8 +428,9 @@ def node_links(docs: DataFrame, sig: DataFrame, nodes: DataFrame, id_col: str, t
         before, large_rows = large_rows, often.groupBy("region").count().where(F.col("count") > s.joined).agg(F.sum("count")).first()[0] or 0
         if large_rows == 0 or (before is not None and large_rows > 0.8 * before):
             break
-    left = by_node.join(prefixes.hint("merge"), "doc")
-    waiting = unlinked(waiting.unionByName(leftover_pairs(often, left, s)).distinct(), comps)
+    if not often.isEmpty():
+        waiting = waiting.unionByName(leftover_pairs(often, left_sets(often, sig, heads, s), s)).distinct()
+    waiting = unlinked(waiting, comps)
     apart = measured(docs, waiting.select(F.col("a").alias("pivot"), F.col("b").alias("node")), id_col, text_col, s)
     return written(links.unionByName(links_of(apart, s)).distinct(), "links")
 

@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from feedlake.llm import jaccard
 from feedlake.llm.jaccard import Setting, jaccard_classes, jaccard_join, jaccard_links, one_of_each
 from feedlake.llm.shingles import shingle_sets
 
@@ -116,3 +117,23 @@ def test_links_inside_a_family_are_all_found(spark):
 def test_links_over_blocks_and_bands(spark):
     steps = [" ".join(f"s{i}" for i in range(n)) for n in range(40, 140, 3)]
     check_links(spark, corpus(6, 1, 30, 4) + steps, Setting(cells=1 << 16, block=4))
+
+
+def test_prefixes_are_read_once_for_what_pivots_leave(spark, monkeypatch):
+    """No written table has the signatures of all sets behind it more than twice (a join with their own keys), also where regions stay unsplit."""
+    found, plain = [], jaccard.written
+
+    def written(df, tag):
+        found.append((tag, df._jdf.queryExecution().executedPlan().toString().count("/signatures]")))
+        return plain(df, tag)
+
+    monkeypatch.setattr(jaccard, "written", written)
+    before = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        check(spark, corpus(5, 12, 3, 4), Setting(cells=1 << 16, small=2, joined=1, levels=1))
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", before)
+    tags = {t for t, _ in found}
+    assert "signatures" in tags and max(n for _, n in found) > 0
+    assert [x for x in found if x[1] > 2] == []
