@@ -9,6 +9,7 @@ from feedlake.functions.text import bound, content_hash, nfkc, normalize_url
 from feedlake.sources.scratch import written
 
 from .components import merge_labels, star_components
+from .pieces import Pieces, common_pieces, held
 
 
 def match_keys(articles: DataFrame) -> DataFrame:
@@ -114,41 +115,39 @@ def char_shingles(plain: Column, width: int = 32) -> Column:
 def near_duplicates(rows: DataFrame, least_chars: int = 500, width: int = 32, length_ratio: float = 0.7, share: float = 0.9, hot: int = 1000, salts: int = 16) -> DataFrame:
     """Pairs (a, b), a < b, of full texts whose distinct ``width``-unit pieces overlap by ``share`` of the smaller set, lengths within ``length_ratio``.
 
-    Equal normalised texts are one row (the smallest id) for the join; each other one is paired with that. The overlap is measured against the smaller set, so this is a containment join:
-    sets are dealt to classes of size (steps of a quarter), and a set is looked up in the classes of the smaller sets that exist among texts of fitting length, each with the prefix of its
-    pieces, rare ones first, of which one must be common with any set there. A pair whose common piece stands so late in either set that the rest cannot suffice is left out; pieces in
-    more than ``hot`` sets are spread over salts. Candidates are verified on whole sets. Ties in size go both ways, the class of each is that of the other or a smaller one.
+    Equal normalised texts are one row (the smallest id) for the join; each other one is paired with that. The overlap is measured against the smaller set, so this is a containment join.
+    Pieces that no other text has are found by counts of short values (see pieces.py) and travel no further; only a text whose other pieces make up ``share`` of its set can be the smaller one.
+    Such a set gives the prefix of its pieces, rare ones first, of which one must be common with any set that holds ``share`` of it. A set is looked up with the prefix that the least of the smaller
+    sets among texts of fitting length asks for (by classes of size, steps of a quarter), and with those pieces of it that a bitmap holds to be in a prefix of a smaller set. A pair whose
+    common piece stands so late in either set that the rest cannot suffice is left out; pieces in more than ``hot`` sets are spread over salts. Candidates are verified on whole texts.
     """
-    full = rows.where(F.col("content_status") == "full").select("article_id", letters_only(F.col("text")).alias("plain")).where(F.length("plain") >= least_chars)
-    plain = written(full.withColumn("h", F.sha2("plain", 256)), "plain")
-    first = plain.groupBy("h").agg(F.min("article_id").alias("id"))
-    copies = plain.select("h", "article_id").join(first.hint("merge"), "h").where(F.col("article_id") != F.col("id")).select(F.col("id").alias("a"), F.col("article_id").alias("b"))
+    full = rows.where(F.col("content_status") == "full").select(F.col("article_id").alias("id"), letters_only(F.col("text")).alias("plain")).where(F.length("plain") >= least_chars)
     units = (F.length(F.encode("plain", "UTF-16BE")) / 2).cast("int")
-    one = plain.join(first.select(F.col("id").alias("article_id")).hint("merge"), "article_id", "left_semi").dropDuplicates(["article_id"])
-    sets = written(one.where(units >= width).select(F.col("article_id").alias("id"), units.alias("n"), char_shingles(F.col("plain"), width).alias("s")), "sets")
+    plain = written(full.select("id", "plain", F.sha2("plain", 256).alias("h"), units.alias("n")), "plain", "zstd")
+    first = written(plain.groupBy("h").agg(F.min("id").alias("id")), "first")
+    copies = plain.select("h", F.col("id").alias("b")).join(first.withColumnRenamed("id", "a").hint("merge"), "h").where(F.col("a") != F.col("b")).select("a", "b")
+    total = plain.agg(F.sum("n")).first()[0] or 0
+    placed = written(Pieces.of(total, width).placed(plain, first, hot), "pieces", "zstd")
     kind = lambda size: F.floor(F.log(size) / F.log(F.lit(1.25))).cast("int")
-    each = sets.select("id", "n", F.size("s").alias("k"), F.explode("s").alias("t"))
-    common = each.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    shared = each.join(common.hint("merge"), "t").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "t")))
-    own = shared.groupBy("id").agg(F.count(F.lit(1)).alias("m"))
     # Pieces that no other text has come first in the order, so they use up the prefix: ``i`` is a piece's place in it, from 1.
-    placed = written(shared.join(own.hint("merge"), "id").select("id", "n", "k", "t", "df", (F.col("r") + F.col("k") - F.col("m")).alias("i")), "pieces")
-    need = F.ceil(share * F.col("k"))
-    small = placed.where(F.col("i") <= F.col("k") - need + 1).select(kind(F.col("k")).alias("c"), "t", F.col("id").alias("ida"), F.col("n").alias("na"), F.col("k").alias("ka"), F.col("i").alias("ia"), "df")
-    # The classes that exist, with the lengths of their texts: logarithmically many rows.
-    classes = sets.groupBy(kind(F.size("s")).alias("c")).agg(F.min(F.size("s")).alias("least_k"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    fits = (F.col("c") <= kind(F.col("k"))) & (F.col("most_n") >= length_ratio * F.col("n")) & (length_ratio * F.col("least_n") <= F.col("n"))
-    offered = placed.join(F.broadcast(classes), fits).where(F.col("i") <= F.col("k") - F.ceil(share * F.col("least_k")) + 1)
-    large = offered.select("c", "t", F.col("id").alias("idb"), F.col("n").alias("nb"), F.col("k").alias("kb"), F.col("i").alias("ib"), "df")
-    spread = F.when(F.col("df") > hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    small = small.withColumn("salt", F.when(F.col("df") > hot, F.pmod(F.xxhash64("ida"), F.lit(salts)).cast("int")).otherwise(0)).drop("df")
-    large = large.withColumn("salt", F.explode(spread)).drop("df")
+    m, need = F.size("pieces"), F.ceil(share * F.col("k"))
+    prefix = lambda sets, most: sets.select("id", "n", "k", "cold", (F.col("k") - m).alias("before"), F.slice("pieces", F.lit(1), most.cast("int")).alias("pieces"))
+    ended = lambda each, end: each.select("t", *[F.col(c).alias(c + end) for c in ("id", "n", "k")], (F.col("before") + F.col("at") + 1).alias(f"i{end}"), (F.col("at") >= F.col("cold")).alias("hot"))
+    sure = placed.where(m >= need)
+    small = ended(prefix(sure, m - need + 1).select("id", "n", "k", "cold", "before", F.posexplode("pieces").alias("at", "t")), "a")
+    # The classes that exist, with the lengths of their texts: logarithmically many rows. The least set that may be in one tells how much of it is looked up.
+    classes = sure.groupBy(kind(F.col("k")).alias("c")).agg(F.min("k").alias("least_k"), F.min("n").alias("least_n"), F.max("n").alias("most_n")).collect()
+    fits = lambda c: F.when((F.col("k") >= c.least_k) & (c.most_n >= length_ratio * F.col("n")) & (length_ratio * c.least_n <= F.col("n")), c.least_k)
+    least = F.ceil(share * F.array_min(F.array(F.lit(None).cast("int"), *map(fits, classes))))
+    large = ended(held(prefix(placed.where(m >= least), m - least + 1), small), "b")
+    small = small.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("ida"), F.lit(salts)).cast("int")).otherwise(0)).drop("hot")
+    large = large.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
     smaller = (F.col("ka") < F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("ida") < F.col("idb")))
     close = F.least("na", "nb") >= length_ratio * F.greatest("na", "nb")
-    # At most min(places before) pieces are common so far, and no more than what is left of either can follow.
+    # At most min(places before) pieces are common so far, and no more than what is left of either can follow; the first common piece leaves enough of the larger set.
     most = F.least("ia", "ib") + F.least(F.col("ka") - F.col("ia"), F.col("kb") - F.col("ib"))
-    left = most >= F.ceil(share * F.col("ka"))
-    pairs = small.join(large.hint("merge"), ["c", "t", "salt"]).where(smaller & close & left).select("ida", "idb").distinct()
-    sa, sb = sets.select(F.col("id").alias("ida"), F.col("s").alias("sa")), sets.select(F.col("id").alias("idb"), F.col("s").alias("sb"))
-    found = pairs.join(sa.hint("merge"), "ida").join(sb.hint("merge"), "idb").where(F.size(F.array_intersect("sa", "sb")) >= share * F.size("sa"))
+    wanted = F.ceil(share * F.col("ka"))
+    left = (most >= wanted) & (F.col("ib") <= F.col("kb") - wanted + 1)
+    pairs = written(small.join(large.hint("merge"), ["t", "salt"]).where(smaller & close & left).select("ida", "idb").distinct(), "pairs")
+    found = common_pieces(pairs, plain, width).where(F.col("m") >= share * F.col("k"))
     return found.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).unionByName(copies).distinct()

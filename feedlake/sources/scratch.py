@@ -25,8 +25,8 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/core-{uuid.uuid4().hex}/{tag}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: the plan starts anew with the size of real files, and a lost executor costs no rerun."""
     path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
