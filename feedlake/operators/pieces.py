@@ -48,7 +48,8 @@ def piece_hashes(units: np.ndarray, width: int) -> np.ndarray:
         h, size = _mix(h[:-size] * U(0x9E3779B97F4A7C15) + h[size:]), 2 * size
         if bit == "1":
             h, size = _mix(h[:-1] * U(0x9E3779B97F4A7C15) + one[size:]), size + 1
-    return np.unique(h)
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 def packed(values: np.ndarray, bits: int) -> bytes:
